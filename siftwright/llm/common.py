@@ -165,3 +165,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't in ``gone``; rows without an id stay."""
+    return semi_ids(docs, id_col, cut(gone.select(id_col), "gone"), id_col, "left_anti")
