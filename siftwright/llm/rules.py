@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,32 +40,37 @@ def base_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the raw counts that rules use."""
     blank = "[\\x20\\x09-\\x0D]+"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("words", F.filter(F.split("text", blank, -1), lambda w: w != ""))
+    rows = rows.withColumn("body", F.btrim("text", F.lit(" \t\n\x0b\f\r")))
+    rows = rows.withColumn("words", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", blank, -1)))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
     # hashes of the words once, then of each window of three
     rows = rows.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.struct(F.xxhash64(F.get("codes", i), F.get("codes", i + 1), F.get("codes", i + 2)).alias("h"), i.alias("i"))))
-    rows = rows.withColumn("windows", F.sort_array(windows))
-    rows = rows.withColumn("hashes", F.transform("windows", lambda w: w.h))
-    # equal windows are neighbours now: those with an equal one before or behind are repeated
-    again = F.filter(F.transform("windows", lambda w, j: F.when((F.get("hashes", j - 1) == w.h) | (F.get("hashes", j + 1) == w.h), w.i)), lambda i: i.isNotNull())
+    hashes = F.transform("codes", lambda c, i: F.xxhash64(c, F.get("codes", i + 1), F.get("codes", i + 2)))
+    rows = rows.withColumn("hashes", F.slice(hashes, 1, F.greatest(F.size("codes") - 2, F.lit(0))))
+    # only a text with equal windows has them sorted; equal ones are neighbours then
+    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    rows = rows.withColumn("windows", F.when(some, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    rows = rows.withColumn("sorted", F.transform("windows", lambda w: w.h))
+    again = F.filter(F.transform("windows", lambda w, j: F.when((F.get("sorted", j - 1) == w.h) | (F.get("sorted", j + 1) == w.h), w.i)), lambda i: i.isNotNull())
     rows = rows.withColumn("again", again)
     covered = F.size(F.array_distinct(F.concat("again", F.transform("again", lambda i: i + 1), F.transform("again", lambda i: i + 2))))
-    lines = F.filter(F.split("text", "\n", -1), lambda s: F.regexp_replace(s, blank, "") != "")
-    rows = rows.withColumn("lines", lines)
+    rows = rows.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda s: s.rlike("[^\\x20\\x09-\\x0D]")))
+    # characters that are counted, all others taken out in one pass
+    rows = rows.withColumn("solid", F.array_join("words", ""))
+    rows = rows.withColumn("rare", F.regexp_replace("solid", "[^A-Z#*$%&|<>!?]+", ""))
     n = lambda c: F.length(c).cast("long")
-    text = F.col("text")
+    of = lambda chars: n("rare") - n(F.translate("rare", chars, ""))
     return rows.select(
         "id",
         "n_words",
-        n(F.translate(text, " \t\n\x0b\f\r", "")).alias("word_chars"),
-        (n(text) - n(F.translate(text, "#*$%&|<>", ""))).alias("n_symbols"),
+        n("solid").alias("word_chars"),
+        of("#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("n_words") >= 3, covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("again").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("codes")).cast("long").alias("n_distinct"),
-        (n(text) - n(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
-        (n(text) - n(F.translate(text, "!?", ""))).alias("n_marks"),
+        of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        of("!?").alias("n_marks"),
     )
 
 
@@ -81,41 +87,45 @@ EXPRESSIONS = {
 }
 
 
-def _holds(row, test) -> bool:
-    name, above, limit = test
-    return (row[name] > limit) == above
+def _covers(data: dict, rule: list) -> np.ndarray:
+    out = np.ones(len(data["bad"]), bool)
+    for name, above, limit in rule:
+        out &= (data[name] > limit) == above
+    return out
 
 
-def _covers(row, rule) -> bool:
-    return all(_holds(row, t) for t in rule)
+def _where(data: dict, keep: np.ndarray) -> dict:
+    return {k: v[keep] for k, v in data.items()}
 
 
-def _grow(rows: list, grid: dict) -> list:
+def _grow(data: dict, grid: dict) -> list:
     """Add the test of greatest FOIL gain until no good row is covered or no test gains."""
     rule: list = []
     while len(rule) < MAX_TESTS:
-        p0 = sum(1 for r in rows if r["bad"])
-        if not p0 or p0 == len(rows):
+        n0, p0 = len(data["bad"]), int(data["bad"].sum())
+        if not p0 or p0 == n0:
             break
-        best = (0.0, None)
+        best = (1e-9, None)
         for name, limits in grid.items():
-            for limit in limits:
-                above = [r["bad"] for r in rows if r[name] > limit]
-                p, n = sum(above), len(above)
-                for side, ps, ns in ((True, p, n), (False, p0 - p, len(rows) - n)):
-                    if ps and (gain := ps * (math.log2(ps / ns) - math.log2(p0 / len(rows)))) > best[0] + 1e-9:
-                        best = (gain, (name, side, limit))
+            order = np.argsort(data[name], kind="stable")
+            at = np.searchsorted(data[name][order], limits, side="right")
+            below = np.concatenate([[0], np.cumsum(data["bad"][order])])[at]
+            for above, p, n in ((True, p0 - below, n0 - at), (False, below, at)):
+                gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(n, 1)) - math.log2(p0 / n0)), 0.0)
+                i = int(gain.argmax())
+                if gain[i] > best[0] + 1e-9:
+                    best = (float(gain[i]), (name, above, float(limits[i])))
         if best[1] is None:
             break
         rule.append(best[1])
-        rows = [r for r in rows if _holds(r, best[1])]
+        data = _where(data, _covers(data, rule[-1:]))
     return rule
 
 
-def _worth(rule: list, rows: list) -> tuple[float, int]:
+def _worth(rule: list, data: dict) -> tuple[float, int]:
     """(p - n) / (p + n) on held-back rows, and the rows covered."""
-    got = [r["bad"] for r in rows if _covers(r, rule)]
-    return ((2 * sum(got) - len(got)) / len(got) if got else -1.0), len(got)
+    got = data["bad"][_covers(data, rule)]
+    return ((2 * int(got.sum()) - len(got)) / len(got) if len(got) else -1.0), len(got)
 
 
 def learn(rows: list[dict]) -> list[list[tuple[str, bool, float]]]:
@@ -123,16 +133,15 @@ def learn(rows: list[dict]) -> list[list[tuple[str, bool, float]]]:
     rows = sorted(rows, key=lambda r: r["order"])
     if len({r["bad"] for r in rows}) < 2:
         return []
+    data = {k: np.array([r[k] for r in rows]) for k in (*TESTS, "bad")}
+    held = np.arange(len(rows)) % 3 == 0
+    grow, prune = _where(data, ~held), _where(data, held)
     rules: list = []
-    grow = [r for i, r in enumerate(rows) if i % 3]
-    prune = [r for i, r in enumerate(rows) if not i % 3]
-    while len(rules) < MAX_RULES and any(r["bad"] for r in grow):
+    while len(rules) < MAX_RULES and grow["bad"].any():
         grid = {}
         for name in TESTS:
-            values = sorted({r[name] for r in grow})
-            bad = sorted({r[name] for r in grow if r["bad"]})
-            picks = {v[len(v) * q // GRID] for v in (values, bad) for q in range(GRID)}
-            grid[name] = sorted(picks)
+            some = [np.unique(v) for v in (grow[name], grow[name][grow["bad"]])]
+            grid[name] = np.unique(np.concatenate([v[len(v) * np.arange(GRID) // GRID] for v in some]))
         rule = _grow(grow, grid)
         while len(rule) > 1 and _worth(rule[:-1], prune)[0] >= _worth(rule, prune)[0]:
             rule = rule[:-1]
@@ -140,8 +149,7 @@ def learn(rows: list[dict]) -> list[list[tuple[str, bool, float]]]:
         if n < 3 or (worth + 1) / 2 < MIN_PRECISION:
             break
         rules.append(rule)
-        grow = [r for r in grow if not _covers(r, rule)]
-        prune = [r for r in prune if not _covers(r, rule)]
+        grow, prune = (_where(x, ~_covers(x, rule)) for x in (grow, prune))
     return rules
 
 
