@@ -6,8 +6,9 @@ are filled (early stopping). The levels run over all documents of a chunk at onc
 
 Documents with equal shingle sets are collapsed first. Of the rest, documents that share a band meet in a
 bucket. Two members of each bucket (smallest id, smallest hash of id) are compared with all others; buckets
-whose members are then still in different components have all pairs between their stragglers and the rest
-compared, in packs. No pair is made for a bucket whose members are already connected, so large groups cost
+whose members are then still in different components have their stragglers compared with the rest, pack
+against pack within a row: by signature, then by an exact bound from bitmaps of the whole sets. Pairs that pass
+are verified on the sets themselves. No pair is made for a bucket whose members are already connected, so large groups cost
 their size and not its square.
 
 Defined results. Null or blank text: an empty set, linked with nothing, its own component. A null id: links
@@ -29,7 +30,7 @@ from .common import components, cut, id_text, lower_words, mix64, semi_ids, shin
 ROWS = 4
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-7
-#: Stragglers of a bucket that travel in one row.
+#: Stragglers of a bucket that travel in one row; twice as many members.
 PACK = 32
 
 
@@ -106,12 +107,20 @@ def _signatures(k: int, bands: int):
     return run
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bits of the shingles' low ends, 8 to 16 bits for each shingle, a power of two in all."""
+    size = max(64, 1 << (8 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
             for ids, texts in text_chunks(*id_text(batch)):
-                sets = [shingle_set(lower_words(t), k).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                sets = [shingle_set(lower_words(t), k) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary())], names=["id", "shingles", "bits"])
 
     return run
 
@@ -146,27 +155,64 @@ def _verify(num: int, den: int):
     return run
 
 
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) as those of a smaller power of two."""
+    while bits.shape[1] > size:
+        bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, bits_x: list, bits_y: list, num: int, den: int) -> np.ndarray:
+    """Of the index pairs (a, b), those whose bitmaps allow for the similarity.
+
+    A bit that only one bitmap has stands for a shingle, at least, that only that set has: an exact bound.
+    """
+    keep = np.zeros(len(a), bool)
+    size_x, size_y = np.array([len(x) for x in bits_x]), np.array([len(y) for y in bits_y])
+    for sx in set(size_x[a].tolist()):
+        for sy in set(size_y[b].tolist()):
+            here = np.flatnonzero((size_x[a] == sx) & (size_y[b] == sy))
+            step = max(1, (1 << 22) // max(sx, sy))
+            for part in (here[i : i + step] for i in range(0, len(here), step)):
+                x = _fold(np.frombuffer(b"".join(bits_x[i] for i in a[part].tolist()), np.uint8).reshape(len(part), sx), sy)
+                y = _fold(np.frombuffer(b"".join(bits_y[i] for i in b[part].tolist()), np.uint8).reshape(len(part), sy), sx)
+                only_x, only_y = (np.bitwise_count(u & ~v).sum(1, dtype=np.int64) for u, v in ((x, y), (y, x)))
+                nx, ny = n[a[part]], m[b[part]]
+                both = np.minimum(nx - only_x, ny - only_y)
+                keep[part] = den * both >= num * (nx + ny - both)
+    return keep
+
+
 def _cross(num: int, den: int, least: float):
-    """Rows (key band, id, n, sig, label, pack of stragglers) -> pairs to verify, each in its first shared band only."""
+    """Rows (band, pack of members, pack of stragglers) -> pairs to verify, each in its first shared band only."""
+
+    def parts(column) -> tuple:
+        """Offsets, and the ids, sizes, labels, main marks, signatures and bitmaps of all entries of a column of packs."""
+        flat, ends = column.flatten(), column.value_lengths().to_numpy().cumsum()
+        sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(len(flat), -1)
+        return np.concatenate([[0], ends]), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "in_main")), sig, flat.field("bits").to_pylist()
 
     def run(batches):
         for batch in batches:
-            out_a, out_b, out_e = [], [], []
-            col = {c: batch.column(c) for c in batch.schema.names}
-            for r in range(batch.num_rows):
-                pack = col["pack"][r].as_py()
-                i, n, label, band = (col[c][r].as_py() for c in ("id", "n", "label", "band"))
-                own = np.frombuffer(col["sig"][r].as_py(), np.uint8)
-                sig = np.frombuffer(b"".join(p["sig"] for p in pack), np.uint8).reshape(len(pack), -1)
-                same = sig == own
-                est = same.mean(1)
-                first = same.reshape(len(pack), -1, ROWS).all(2).argmax(1)
-                for p, e, f in zip(pack, est.tolist(), first.tolist(), strict=True):
-                    if e >= least and f == band and p["label"] != label and p["id"] != i and (not p["alone"] or p["id"] < i) and den * min(n, p["n"]) >= num * max(n, p["n"]):
-                        out_a.append(min(i, p["id"]))
-                        out_b.append(max(i, p["id"]))
-                        out_e.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_e, pa.float64())], names=["a", "b", "est"])
+            if not batch.num_rows:
+                continue
+            at_x, id_x, n_x, label_x, main_x, sig_x, bits_x = parts(batch.column("members"))
+            at_y, id_y, n_y, label_y, _, sig_y, bits_y = parts(batch.column("stragglers"))
+            out = []
+            for r, band in enumerate(batch.column("band").to_pylist()):
+                x, y = slice(at_x[r], at_x[r + 1]), slice(at_y[r], at_y[r + 1])
+                i, j = id_x[x, None], id_y[None, y]
+                n, m = n_x[x, None], n_y[None, y]
+                # two stragglers meet from both sides: one of them counts
+                good = (label_x[x, None] != label_y[None, y]) & (main_x[x, None] | (j < i)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+                a, b = np.nonzero(good)
+                same = sig_x[x][a] == sig_y[y][b]
+                keep = (same.mean(1) >= least) & (same.reshape(len(a), same.shape[1] // ROWS, ROWS).all(2).argmax(1) == band)
+                a, b = a[keep], b[keep]
+                keep = _bounded(a, b, n_x[x], n_y[y], bits_x[x], bits_y[y], num, den)
+                i, j = id_x[x][a[keep]], id_y[y][b[keep]]
+                out.append((np.minimum(i, j), np.maximum(i, j)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -192,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = placed.groupBy("band", "key").agg(F.min("id").alias("h1"), F.max("id").alias("h9"), F.min_by("id", F.xxhash64("id")).alias("h2")).where("h1 < h9").drop("h9")
     members = cut(placed.join(shared, ["band", "key"]), "minhash-members")
     wanted = cut(members.select("id").distinct(), "minhash-wanted")
-    full = cut(semi_ids(source, "id", wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary"), "minhash-sets")
+    full = cut(semi_ids(source, "id", wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary, bits binary"), "minhash-sets")
     small = cut(semi_ids(reps.select("id", "n", "sig"), "id", wanted, "id"), "minhash-small")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -216,27 +262,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = labelled(comp)
     sums = cut(own.groupBy("band", "key", "label").agg(F.count("*").alias("c")), "minhash-sums")
     mixed = sums.groupBy("band", "key").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
-    open_ = own.join(mixed, ["band", "key"]).join(small, "id")
+    open_ = own.join(mixed, ["band", "key"]).join(small, "id").join(full.select("id", "bits"), "id")
     open_ = cut(open_, "minhash-open")
-    packs = (
-        open_.where("label <> main")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil((F.col("all") - F.col("most")) / PACK)))
-        .groupBy("band", "key", "salt")
-        .agg(F.collect_list(F.struct("id", "n", "sig", "label", F.lit(True).alias("alone"))).alias("pack"))
-    )
-    # a straggler meets its fellow stragglers from one side only, the rest from the other
-    rest = open_.select("band", "key", "id", "n", "sig", "label", (F.col("label") == F.col("main")).alias("in_main"))
-    met = rest.join(packs, ["band", "key"]).withColumn("pack", F.transform("pack", lambda p: p.withField("alone", ~F.col("in_main"))))
-    likely = cut(met.mapInArrow(_cross(percent, 100, least), "a long, b long, est double"), "minhash-cross")
-    # the likeliest first: once two components are joined, no further pair between them is verified
-    for low, high in ((threshold, 2.0), ((threshold + least) / 2, threshold), (least, (threshold + least) / 2)):
-        some = likely.where((F.col("est") >= low) & (F.col("est") < high))
-        if some.isEmpty():
-            continue
-        for side in ("a", "b"):
-            some = some.join(comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        links = cut(links.union(verified(some.where("ca <> cb").select("a", "b"))), "minhash-links")
-        comp = components(links)
+    entry = F.struct("id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), "sig", "bits")
+
+    def packed(rows: DataFrame, count, size: int, name: str) -> DataFrame:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(count / size)))
+        return salted.groupBy("band", "key", "salt").agg(F.collect_list(entry).alias(name)).drop("salt")
+
+    stragglers = packed(open_.where("label <> main"), F.col("all") - F.col("most"), PACK, "stragglers")
+    met = packed(open_, F.col("all"), 2 * PACK, "members").join(stragglers, ["band", "key"]).select("band", "members", "stragglers")
+    likely = cut(met.mapInArrow(_cross(percent, 100, least), "a long, b long"), "minhash-cross")
+    comp = components(links.union(verified(likely)))
 
     named = reps.select("fp1", "fp2", "n", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.col("n").alias("fn"), F.coalesce("comp", "id").alias("comp"))
     out = every.select("id", "n", "fp1", "fp2").join(named, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("fn")), "left")
