@@ -83,7 +83,7 @@ def find_references(docs: DataFrame, id_col: str, text: Column, symbol: str, exa
     """(id, line, content): lines with the symbol, the first ``per_file`` of each file."""
     import re
 
-    pattern = f"\\b{re.escape(symbol)}\\b"
+    pattern = f"(?<![A-Za-z0-9_]){re.escape(symbol)}(?![A-Za-z0-9_])"  # \\b also counts letters beyond ASCII
     match = (lambda c: c.rlike(pattern)) if exact else (lambda c: F.contains(F.lower(c), F.lit(symbol.lower())))
     lines = docs.where(match(text)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "content"))
     from siftwright.operators.ranking import top_per_group

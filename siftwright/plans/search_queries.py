@@ -117,7 +117,7 @@ UNION ALL SELECT doc_id, 'refs', 1.0, row_number() OVER (ORDER BY n DESC, doc_id
 SELECT doc_id AS id, round(sum(w / (60 + r)::DOUBLE), 6) AS score, string_agg(lane, ',' ORDER BY lane) AS methods, count(*) AS n_methods FROM l GROUP BY 1""")
 def investigate_lanes(t):
     path = t.documents.where("source = 'src1'").orderBy(F.col("n_chars").desc(), "doc_id").limit(16).select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    n = F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike("\\bof\\b")))
+    n = F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike("(?<![A-Za-z0-9_])of(?![A-Za-z0-9_])")))
     refs = t.documents.select(F.col("doc_id").alias("id"), n.cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(30).where("score > 0")
     lanes = {"fts": _bm25(t, 50), "vector": _vec(t, 50), "path": path, "refs": refs}
     return ranking.rrf(lanes, "id", weights={"path": 2.0}).withColumn("score", F.round("score", 6))
@@ -147,7 +147,8 @@ def call_refs(t):
     return code.call_references(t.pages, "page_id", F.col("html"))
 
 
-_WANTED = {"user": "(?i)\\b(the|de|la)\\b", "assistant": "(?i)\\b(of|is|und)\\b"}
+_A, _B = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_WANTED = {"user": f"(?i){_A}(the|de|la){_B}", "assistant": f"(?i){_A}(of|is|und){_B}"}
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations),
