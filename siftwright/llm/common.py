@@ -11,6 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed buffers go back to the system at once; a pool would keep them in every idle worker
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: At most this many 8-byte ids are ever broadcast; beyond it a shuffle join does the same work.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that a Python worker holds as hashes at one time (a longer text is a chunk of its own).
@@ -78,6 +81,12 @@ def id_text(batch: pa.RecordBatch) -> tuple[list, list]:
     return batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
 
 
+def text_pieces(batch: pa.RecordBatch, rows: int = 256):
+    """The same in pieces of at most ``rows`` rows and, beyond one row, CHUNK_BYTES of text: (ids, texts)."""
+    for a in range(0, batch.num_rows, rows):
+        yield from text_chunks(*id_text(batch.slice(a, rows)))
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` of the text with A-Z lowered (bytes methods touch ASCII only)."""
     return text.lower().split() if text else []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, id_text, lower_words, mix64, semi_ids, shingle_set, text_chunks
+from .common import components, cut, lower_words, mix64, semi_ids, shingle_set, text_pieces
 
 ROWS = 4
 #: Chance that a pair exactly at the threshold shares no band.
@@ -75,7 +75,7 @@ def _signatures(k: int, bands: int):
 
     def run(batches):
         for batch in batches:
-            for ids, texts in text_chunks(*id_text(batch)):
+            for ids, texts in text_pieces(batch):
                 sets = [shingle_set(lower_words(t), k) for t in texts]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 fp = np.zeros((len(sets), 2), np.uint64)
@@ -118,7 +118,7 @@ def bitmap(shingles: np.ndarray) -> bytes:
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for ids, texts in text_chunks(*id_text(batch)):
+            for ids, texts in text_pieces(batch):
                 sets = [shingle_set(lower_words(t), k) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary())], names=["id", "shingles", "bits"])
 
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     placed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.min("id").alias("h1"), F.max("id").alias("h9"), F.min_by("id", F.xxhash64("id")).alias("h2")).where("h1 < h9").drop("h9")
-    members = cut(placed.join(shared, ["band", "key"]), "minhash-members")
+    # cut before the join: both its sides are then shuffles of their own, which Spark can split where a bucket is hot
+    members = cut(placed.join(cut(shared, "minhash-shared"), ["band", "key"]), "minhash-members")
     wanted = cut(members.select("id").distinct(), "minhash-wanted")
     full = cut(semi_ids(source, "id", wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary, bits binary"), "minhash-sets")
     small = cut(semi_ids(reps.select("id", "n", "sig"), "id", wanted, "id"), "minhash-small")

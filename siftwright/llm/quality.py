@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, text_chunks
+from .common import cut, text_pieces
 
 FEATURES = ("words", "word_len", "upper", "symbols", "digits", "stops", "marks", "distinct", "repeat_next", "repeat_lines", "line_len", "entropy")
 POOL = 0.1
@@ -65,7 +65,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 def _features(batches):
     for batch in batches:
-        for ids, texts in text_chunks(*id_text(batch)):
+        for ids, texts in text_pieces(batch):
             rows = [statistics(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
@@ -163,9 +163,9 @@ def accepted(docs: DataFrame, model: Qda, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = []
-            for _, texts in text_chunks(*[batch.column(at).cast(pa.binary()).to_pylist()] * 2):
-                good.append(model.score(np.array([statistics(t) for t in texts])) >= THRESHOLD)
-            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array(model.score(np.array([statistics(t) for t in texts])) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
