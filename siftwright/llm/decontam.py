@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, id_text, lower_words, mix64, run_hashes, text_chunks
+from .common import hash_words, lower_words, mix64, run_hashes, text_pieces
 
 K = 5
 THRESHOLD = 0.8
@@ -34,12 +34,9 @@ BLOCKS = 16
 PASS_BYTES = 32 << 20
 
 
-def shingles(words: list[bytes], h: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the K-word shingles in order; fewer words: the whole sequence as one."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hash_words(words) if h is None else h
-    return run_hashes(h, min(K, len(words)))
+def shingles(words: list[bytes], k: int = K, h: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the k-word shingles in order."""
+    return run_hashes(hash_words(words) if h is None else h, k)
 
 
 def simhash(sh: np.ndarray) -> np.ndarray:
@@ -63,15 +60,17 @@ class Index:
         for i, text in items:
             words = lower_words((text or "").encode())
             if words:
-                sh = shingles(words)
-                self.items.append((i, len(words), Counter(sh.tolist()), sh))
+                k = min(K, len(words))
+                sh = shingles(words, k)
+                self.items.append((i, len(words), Counter(sh.tolist()), sh, k))
         self.prints = np.array([simhash(x[3]) for x in self.items], np.uint8).reshape(-1, BLOCKS)
         where: dict[int, list[tuple[int, int]]] = {}
-        for at, (_, _, _, sh) in enumerate(self.items):
+        for at, (_, _, _, sh, _) in enumerate(self.items):
             for offset, x in enumerate(sh.tolist()):
                 where.setdefault(x, []).append((at, offset))
         self.where = where
-        self.keys = np.array(sorted(where), np.uint64)
+        #: sorted shingles of the items by their length: an item of fewer than K words is one shorter shingle
+        self.keys = {k: np.unique(np.concatenate([x[3] for x in self.items if x[4] == k])) for k in sorted({x[4] for x in self.items})}
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
         # table[block][value]: the items whose block is near the value
         self.table = [[np.flatnonzero(near[v][self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)]
@@ -81,22 +80,29 @@ class Index:
         some = np.unique(np.concatenate([self.table[b][v] for b, v in enumerate(fingerprint.tolist())]))
         return some[np.bitwise_count(self.prints[some] ^ fingerprint).sum(1) <= self.radius]
 
-    def match(self, sh: np.ndarray, n_words: int, hits: np.ndarray, threshold: float) -> list[tuple]:
+    def hits(self, sh: np.ndarray, k: int) -> np.ndarray:
+        """Places of the shingles that stand in some item."""
+        at = np.searchsorted(self.keys[k], sh)
+        return np.flatnonzero(self.keys[k][np.minimum(at, len(self.keys[k]) - 1)] == sh)
+
+    def match(self, words: list[bytes], threshold: float) -> list[tuple]:
         """(item id, similarity, first word, words) of the best window for each matching item."""
-        windows = set()
-        for p in hits.tolist():
-            for at, offset in self.where[int(sh[p])]:
-                size = min(self.items[at][1], n_words)
-                windows.add((min(max(p - offset, 0), n_words - size), size))
+        h = hash_words(words)
         best: dict[int, tuple] = {}
-        for start, size in sorted(windows):
-            part = sh[start : start + max(size - K + 1, 1)]
-            bag = None
-            for at in self.within(simhash(part)).tolist():
-                bag = bag or Counter(part.tolist())
-                s = weighted_jaccard(bag, self.items[at][2])
-                if s >= threshold and s > best.get(at, (0.0,))[0]:
-                    best[at] = (s, start, size)
+        for k in self.keys:
+            sh = shingles(words, k, h)
+            windows = set()
+            for p in self.hits(sh, k).tolist():
+                for at, offset in self.where[int(sh[p])]:
+                    size = min(self.items[at][1], len(words))
+                    windows.add((min(max(p - offset, 0), len(words) - size), size))
+            for start, size in sorted(windows):
+                part = sh[start : start + size - k + 1]
+                bag = Counter(part.tolist())
+                for at in self.within(simhash(part)).tolist():
+                    s = weighted_jaccard(bag, self.items[at][2])
+                    if s >= threshold and s > best.get(at, (0.0,))[0]:
+                        best[at] = (s, start, size)
         return [(self.items[at][0], *found) for at, found in sorted(best.items())]
 
 
@@ -104,17 +110,11 @@ def _search(items: list, threshold: float):
     def run(batches):
         index = Index(items)
         for batch in batches:
-            for ids, texts in text_chunks(*id_text(batch)):
+            for ids, texts in text_pieces(batch):
                 out = []
                 for i, t in zip(ids, texts, strict=True):
-                    words = lower_words(t)
-                    if not words or not len(index.keys):
-                        continue
-                    sh = shingles(words)
-                    at = np.searchsorted(index.keys, sh)
-                    hits = np.flatnonzero(index.keys[np.minimum(at, len(index.keys) - 1)] == sh)
-                    if len(hits):
-                        out += [(i, *m) for m in index.match(sh, len(words), hits, threshold)]
+                    if words := lower_words(t):
+                        out += [(i, *m) for m in index.match(words, threshold)]
                 doc, item, sim, start, size = zip(*out, strict=True) if out else ((),) * 5
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(sim, pa.float64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], names=["id", "item", "similarity", "first_word", "words"])
 
