@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 20
 MAX_BROADCAST = 200_000
 _BLANKS = " \t\r\x0b\x0c"
 
