@@ -21,62 +21,105 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, lower_words, text_chunks
-from .quality import FEATURES, statistics
+from .common import BROADCAST_IDS, cut, id_text, mix64, text_pieces
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Target shares of all tokens.
 TARGETS = {"clean": 0.985, "junk": 0.01, "toxic": 0.005}
 BUCKETS = 1 << 16
-#: A bucket counts if its log-odds differ from those of clean by so many standard errors.
-CLEAR = 5.0
+#: Binned shares have places of their own behind the hashed prefixes.
+SHARES, BINS = 4, 40
+SIZE = BUCKETS + SHARES * (BINS + 1)
+#: A bucket counts if its log-odds exceed those of clean by so many standard errors.
+CLEAR = 4.0
+#: And if the domain's documents hold it so many times as often as clean ones.
+STRONG = 10.0
 RIDGE = 1e-3
 STEPS = 40
 CLOSE = 1e-5
 
 
-def _buckets(text: bytes | None) -> np.ndarray:
-    """Buckets of a document: prefixes of 4 and 6 bytes of its words, and binned statistics."""
-    words = set(lower_words(text))
-    parts = {w[:4] for w in words} | {w[:6] for w in words}
-    parts |= {b"\0%d:%d" % (i, round(4 * x)) for i, x in enumerate(statistics(text)) if FEATURES[i] not in ("words", "line_len")}
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts), np.int64, len(parts)))
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b"#*$%&|<>~^=_{}[]\\/@+!?")] = True
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def _hashed(x: np.ndarray, salt: int) -> np.ndarray:
+    return (mix64(x + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> _SHIFT).astype(np.int64)
+
+
+def _buckets(text: bytes | None) -> tuple[np.ndarray, int]:
+    """Buckets of a document (prefixes of 4 and 6 bytes of its lowered words, binned shares), and its words.
+
+    Prefixes are read off the byte array at the word starts, all words at once.
+    """
+    raw = np.frombuffer((text or b"") + b" ", np.uint8)
+    low = np.frombuffer((text or b"").lower() + b" " * 8, np.uint8)
+    blank = _BLANK[raw]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    n = len(starts)
+    parts = []
+    share = repeat = 0.0
+    if n:
+        sizes = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]])) - starts
+        key = np.zeros(n, np.uint64)
+        for j in range(6):
+            key |= np.where(sizes > j, low[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+            if j == 3:
+                parts.append(_hashed(key, 1))
+        parts.append(_hashed(key, 2))
+        word = key ^ (sizes.astype(np.uint64) << np.uint64(48))
+        share = len(np.unique(word)) / n
+        repeat = float((word[1:] == word[:-1]).sum()) / n
+    count = np.bincount(raw, minlength=256)
+    bins = (count[_UPPER].sum() / len(raw), count[_SIGNS].sum() / len(raw), share, repeat)
+    parts.append(np.array([BUCKETS + i * (BINS + 1) + round(BINS * x) for i, x in enumerate(bins)]))
+    return np.unique(np.concatenate(parts)), n
 
 
 def _count(batches):
     """Rows (domain, text) -> (domain, bucket, documents); bucket -1 counts all."""
-    total = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
+    total = np.zeros((len(DOMAINS), SIZE + 1), np.int64)
     for batch in batches:
         for d, t in zip(*id_text(batch), strict=True):
-            total[d, _buckets(t)] += 1
-            total[d, BUCKETS] += 1
+            total[d, _buckets(t)[0]] += 1
+            total[d, SIZE] += 1
     d, b = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[d, b])], names=["domain", "bucket", "n"])
 
 
 class Bayes:
-    """Log-odds of each other domain against clean."""
+    """Log-odds of each other domain against clean: words tell toxic texts, binned shares tell junk."""
 
     def __init__(self, counts: np.ndarray):
-        n = counts[:, BUCKETS].astype(float)
-        c = counts[:, :BUCKETS] + 0.5
+        n = counts[:, SIZE].astype(float)
+        c = counts[:, :SIZE] + 0.5
         share = c / (n[:, None] + 1)
-        self.weight = np.zeros((len(DOMAINS), BUCKETS))
+        self.weight = np.zeros((len(DOMAINS), SIZE))
         self.start = np.zeros(len(DOMAINS))
-        for d in range(1, len(DOMAINS)):
+        for d, of in ((DOMAINS.index("junk"), slice(BUCKETS, SIZE)), (DOMAINS.index("toxic"), slice(0, BUCKETS))):
             self.start[d] = np.log((n[d] + 1) / (n[0] + 1))
-            clear = np.abs(np.log(share[d] / share[0])) > CLEAR * np.sqrt(1 / c[d] + 1 / c[0])
+            # only what speaks for the domain, and strongly: a long text holds many of the words that do so weakly
+            ratio = np.log(share[d] / share[0])
+            clear = np.zeros(SIZE, bool)
+            clear[of] = ((ratio > CLEAR * np.sqrt(1 / c[d] + 1 / c[0])) & (ratio > np.log(STRONG)))[of]
             self.weight[d, clear] = np.log(share[d] / (1 - share[d]) / (share[0] / (1 - share[0])))[clear]
             self.start[d] += np.log((1 - share[d]) / (1 - share[0]))[clear].sum()
 
     def posterior(self, buckets: np.ndarray) -> np.ndarray:
+        """Chances of the domains, to four digits."""
         odds = self.start + self.weight[:, buckets].sum(1)
         p = np.exp(np.clip(odds - odds.max(), -50, 0))
-        return p / p.sum()
+        p = np.round(p / p.sum(), 4)
+        p[0] = 1.0 - p[1:].sum()
+        return p
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Bayes:
@@ -84,8 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Bayes
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
     known = labels.select(F.col(id_col).cast("long").alias("id"), domain.cast("int").alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL").groupBy("id").agg(F.max("domain").alias("domain"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
     sums = source.join(known, "id").select("domain", "text").mapInArrow(_count, "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
+    counts = np.zeros((len(DOMAINS), SIZE + 1), np.int64)
     for r in sums.toLocalIterator():
         counts[r.domain, r.bucket] = r.n
     return Bayes(counts)
@@ -98,9 +143,10 @@ def posteriors(docs: DataFrame, model: Bayes, id_col: str, text_col: str) -> Dat
 
     def run(batches):
         for batch in batches:
-            for ids, texts in text_chunks(*id_text(batch)):
-                p = np.array([shared.value.posterior(_buckets(t)) for t in texts])
-                tokens = [len(t.split()) if t else 0 for t in texts]
+            for ids, texts in text_pieces(batch):
+                found = list(map(_buckets, texts))
+                p = np.array([shared.value.posterior(b) for b, _ in found])
+                tokens = [n for _, n in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), *(pa.array(p[:, d]) for d in range(len(DOMAINS)))], names=["id", "tokens", *(f"p_{d}" for d in DOMAINS)])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -130,6 +176,8 @@ def solve(p: DataFrame, targets: dict[str, float]) -> list[list[float]]:
         return []
     weight = [n / max(now[d], 1e-6 * n) for d in DOMAINS]
     whole = sum(targets.values())
+    # posteriors have four digits, so documents fall into far fewer rows
+    p = cut(p.groupBy(*(f"p_{d}" for d in DOMAINS)).agg(F.sum("tokens").alias("tokens")), "mixing-compact")
     steps: list[list[float]] = []
     totals = [now[d] for d in DOMAINS]
     while len(steps) < STEPS:
