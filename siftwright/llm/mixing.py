@@ -30,11 +30,11 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Target shares of all tokens.
 TARGETS = {"clean": 0.985, "junk": 0.01, "toxic": 0.005}
 BUCKETS = 1 << 16
-#: Binned shares have places of their own behind the hashed prefixes.
-SHARES, BINS = 4, 40
-SIZE = BUCKETS + SHARES * (BINS + 1)
+#: Four shares, binned finely and coarsely, have places of their own behind the hashed prefixes.
+BINS = (40, 8)
+SIZE = BUCKETS + 4 * sum(b + 1 for b in BINS)
 #: A bucket counts if its log-odds exceed those of clean by so many standard errors.
-CLEAR = 4.0
+CLEAR = {"junk": 2.5, "toxic": 4.0}
 #: And if the domain's documents hold it so many times as often as clean ones.
 STRONG = 10.0
 RIDGE = 1e-3
@@ -80,7 +80,10 @@ def _buckets(text: bytes | None) -> tuple[np.ndarray, int]:
         repeat = float((word[1:] == word[:-1]).sum()) / n
     count = np.bincount(raw, minlength=256)
     bins = (count[_UPPER].sum() / len(raw), count[_SIGNS].sum() / len(raw), share, repeat)
-    parts.append(np.array([BUCKETS + i * (BINS + 1) + round(BINS * x) for i, x in enumerate(bins)]))
+    at = BUCKETS
+    for b in BINS:
+        parts.append(np.array([at + i * (b + 1) + round(b * x) for i, x in enumerate(bins)]))
+        at += len(bins) * (b + 1)
     return np.unique(np.concatenate(parts)), n
 
 
@@ -104,12 +107,13 @@ class Bayes:
         share = c / (n[:, None] + 1)
         self.weight = np.zeros((len(DOMAINS), SIZE))
         self.start = np.zeros(len(DOMAINS))
-        for d, of in ((DOMAINS.index("junk"), slice(BUCKETS, SIZE)), (DOMAINS.index("toxic"), slice(0, BUCKETS))):
+        for name, of in (("junk", slice(BUCKETS, SIZE)), ("toxic", slice(0, BUCKETS))):
+            d = DOMAINS.index(name)
             self.start[d] = np.log((n[d] + 1) / (n[0] + 1))
             # only what speaks for the domain, and strongly: a long text holds many of the words that do so weakly
             ratio = np.log(share[d] / share[0])
             clear = np.zeros(SIZE, bool)
-            clear[of] = ((ratio > CLEAR * np.sqrt(1 / c[d] + 1 / c[0])) & (ratio > np.log(STRONG)))[of]
+            clear[of] = ((ratio > CLEAR[name] * np.sqrt(1 / c[d] + 1 / c[0])) & (ratio > np.log(STRONG)))[of]
             self.weight[d, clear] = np.log(share[d] / (1 - share[d]) / (share[0] / (1 - share[0])))[clear]
             self.start[d] += np.log((1 - share[d]) / (1 - share[0]))[clear].sum()
 
@@ -182,9 +186,11 @@ def solve(p: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     totals = [now[d] for d in DOMAINS]
     while len(steps) < STEPS:
         error = [t / n - targets.get(d, 0.0) / whole for d, t in zip(DOMAINS, totals, strict=True)]
-        if max(map(abs, error)) < CLOSE:
+        step = [w * e for w, e in zip(weight, error, strict=True)]
+        # met, or as near as the ridge and the bound at zero allow
+        if max(map(abs, error)) < CLOSE or steps and max(abs(a - b) for a, b in zip(step, steps[-1], strict=True)) < CLOSE / 10:
             break
-        steps.append([w * e for w, e in zip(weight, error, strict=True)])
+        steps.append(step)
         got = p.select("tokens", *(f"p_{d}" for d in DOMAINS), rate(steps).alias("r")).agg(*(F.sum(F.col("tokens") * F.col("r") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
         totals = [got[d] for d in DOMAINS]
     return steps
