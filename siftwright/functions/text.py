@@ -13,7 +13,7 @@ STOP_WORDS = ("a", "an", "and", "are", "at", "by", "does", "for", "from", "how",
 
 def tokens(text: Column) -> Column:
     """Lower-case words: runs of letters and digits of any script. Null gives an empty array."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def identifier_parts(name: Column) -> Column:

@@ -105,3 +105,72 @@ def test_daily_fills_gaps(spark):
     df = spark.createDataFrame([(at(2024, 1, 1, 5), 1, "ok"), (at(2024, 1, 3, 5), 1, "error")], "ts timestamp_ntz, u long, t string")
     got = [(str(r.day), r.events, r.error_rate) for r in stats.daily(df, "ts", "u", F.col("t") == "error").orderBy("day").collect()]
     assert got == [("2024-01-01", 1, 0.0), ("2024-01-02", 0, 0.0), ("2024-01-03", 1, 1.0)]
+
+
+def test_paths_and_boosts(spark):
+    from siftwright.operators import audit
+
+    df = spark.createDataFrame([("src/main.py", "src/a/b.py"), ("node_modules/x/y.js", "z.py"), ("tests/test_a.py", "t.py"), ("src/index.ts", "src/q.ts")], "p string, c string")
+    got = [tuple(r) for r in df.select(audit.path_classes(F.col("p")), audit.production(F.col("p")), F.round(audit.boost(F.col("p"), F.lit(1.0), F.col("c"), F.lit(9)), 4)).collect()]
+    assert got == [("cli", True, round(1.05 * 1.4 * 0.975 * 1.3, 4)), ("vendored", False, round(1.4 * 0.925 * 1.3, 4)), ("test", False, round(1.4 * 0.95 * 1.3, 4)), ("barrel", True, round(1.05 * 1.4 * 1.3, 4))]
+
+
+def test_review_rules(spark):
+    from siftwright.operators import audit
+
+    added = [" ", "+", "+", " "]
+    lines = ["stream.pipe(", "  parse(chunk)", "  done", ")"]
+    diff = spark.createDataFrame([("f.js", 10, o, t, i) for i, (o, t) in enumerate(zip(added, lines, strict=True))], "file string, new_start int, op string, content string, line int")
+    assert [(r.line, r.content) for r in audit.unguarded_stream_calls(diff).collect()] == [(11, "parse(chunk)")]
+    guarded = diff.withColumn("content", F.when(F.col("line") == 0, "try { stream.pipe(").otherwise(F.col("content")))
+    assert audit.unguarded_stream_calls(guarded).count() == 0
+    num = spark.createDataFrame([("3\t1\ta.py",), ("-\t-\tb.png",)], "l string")
+    names = spark.createDataFrame([("b.png", "added")], "path string, status string")
+    assert rows(audit.change_sizes(num, names, "l")) == [("a.py", 3, 1, "modified"), ("b.png", 0, 0, "added")]
+
+
+def test_answers_are_criticised(spark):
+    from siftwright.operators import audit
+
+    sym = lambda *x: spark.createDataFrame([(s,) for s in x], "symbol string")
+    paths = lambda *x: spark.createDataFrame([(s,) for s in x], "path string")
+    spans = lambda *x: spark.createDataFrame(list(enumerate(x)), "id int, status string")
+    run = lambda *a: audit.critique(*a).first()
+    assert run(sym("A"), sym("A"), paths("x"), paths("x"), spans("unchanged")).verdict == "PASS"
+    assert run(sym("A", "Q"), sym("A"), paths("x"), paths("x"), spans("unchanged"))[:] == (0, 1, False, "WARN")
+    assert run(sym("A", "B", "C"), sym("A", "B", "C"), paths("y"), paths("x"), spans("unchanged")).missed_hubs
+    assert run(sym("A"), sym("A"), paths("x"), paths("x"), spans("deleted", "unchanged")).verdict == "FAIL"
+
+
+def test_rule_engines(spark):
+    from siftwright.operators import audit
+
+    items = spark.createDataFrame([(1, "opportunity", "new"), (2, "brief", "queued")], "id int, type string, status string")
+    done, bad = audit.decide(items, spark.createDataFrame([(1, "approve"), (2, "approve")], "id int, decision string"))
+    assert rows(done) == [(1, "opportunity", "briefed"), (2, "brief", "queued")] and rows(bad) == [(2, "approve")]
+    drafts = spark.createDataFrame([("one two three four five six seven eight nine",), ("the best thing",)], "t string")
+    seen = spark.createDataFrame([("One two three four five six seven eight ten",)], "t string")
+    assert [r.failed for r in audit.content_gates(drafts, "t", seen).orderBy("t").collect()] == ["repeated_angle", "unsupported_claim"]
+    s = audit.scout(spark.createDataFrame([(1, 50), (2, 90)], "id int, s int"), F.col("s"), {"old": F.col("s") < 60, "off": F.lit(False)})
+    assert [(r.id, r.status, r.place) for r in s.orderBy("place").collect()] == [(2, "briefed", 1), (1, "needs_review", 2)]
+
+
+def test_recall_appends_pins(spark):
+    from siftwright.operators import audit
+
+    lanes = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.9)], "id long, score double")
+    mem = spark.createDataFrame([(1, 1.0, None, 0), (2, 1.0, None, 100), (3, 1.0, "x", 0)], "id long, confidence double, invalidated_at string, age int")
+    got = [tuple(r) for r in audit.recall(lanes, mem, F.col("age"), 5, spark.createDataFrame([(1,), (9,)], "id long")).collect()]
+    assert got == [(1, 0.5, False), (2, 0.2, False), (9, 1.0, True)]
+
+
+def test_markdown_memories_and_vectors(spark):
+    import numpy as np
+
+    from siftwright.operators import audit
+
+    md = "intro\n## Choices\n- we keep every row of the table\n- short\n- never drop a row to escape skew\n## Note\nThe first paragraph counts here.\n\nNot this."
+    got = rows(audit.markdown_memories(spark.createDataFrame([(md,)], "t string"), "t"))
+    assert got == [("Choices", "never drop a row to escape skew"), ("Choices", "we keep every row of the table"), ("Note", "The first paragraph counts here.")]
+    v = audit.embed(spark.createDataFrame([(1, "some words"), (2, None)], "id long, t string"), "id", "t").orderBy("id").collect()
+    assert abs(np.linalg.norm(v[0].vector) - 1) < 1e-5 and not any(v[1].vector)
