@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, id_text, lower_words, mix64, semi_ids, text_chunks
+from .common import cut, hash_words, id_text, lower_words, mix64, semi_ids, text_pieces
 
 PASSAGE = 50
 SEED = 25
@@ -62,7 +62,7 @@ def _minimisers(passage: int, seed: int):
     def run(batches):
         for batch in batches:
             out_id, out = [], []
-            for ids, texts in text_chunks(*id_text(batch)):
+            for ids, texts in text_pieces(batch):
                 for i, t in zip(ids, texts, strict=True):
                     w = lower_words(t)
                     if i is not None and len(w) >= passage:
@@ -114,11 +114,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A row for each document with repeated passages: id, n_spans, n_repeated_words, spans (start:end in words)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kept = cut(source.mapInArrow(_minimisers(passage, seed), "id long, seed long"), "suffix-seeds")
-    followed = kept.groupBy("seed").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("seed")
+    # sums are cut before they are joined: both sides of the join are then shuffles of their own, which Spark can split where a key is hot
+    followed = cut(kept.groupBy("seed").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("seed"), "suffix-repeated-seeds")
     of_doc = cut(kept.join(followed, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds")), "suffix-followed")
     texts = semi_ids(source, "id", of_doc, "id")
     found = cut(texts.join(of_doc, "id").select("id", "text", "seeds").mapInArrow(_stretches(passage, seed), "id long, at int, print long"), "suffix-stretches")
-    repeated = found.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("print")
+    repeated = cut(found.groupBy("print").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("print"), "suffix-repeated")
     starts = found.join(repeated, "print").groupBy("id").agg(F.collect_list("at").alias("starts"))
     out = starts.mapInArrow(_spans(passage), "id long, n_spans long, n_repeated_words long, spans string")
     return out.withColumnRenamed("id", id_col)
