@@ -27,14 +27,14 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int |
     words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("w"))
     counted = words.select("id", F.size("w").alias("dl"), *((F.size("w") - F.size(F.array_remove("w", t))).alias(f"t{i}") for i, t in enumerate(terms)))
     sums = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))))
-    some = counted.where(" OR ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
-    joined = some.join(F.broadcast(sums))
+    joined = counted.join(F.broadcast(sums))
     score = F.lit(0.0)
     for i in range(len(terms)):
         df, tf = F.col(f"n{i}"), F.col(f"t{i}")
         idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-    out = joined.select("id", score.alias("score"))
+    # a condition on both sides of the join isn't pushed below the words, where it would split each text again
+    out = joined.select("id", score.alias("score")).where("score > 0")
     return out if k is None else out.orderBy(F.col("score").desc(), "id").limit(k)
 
 
