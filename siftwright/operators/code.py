@@ -53,9 +53,11 @@ def security_scan(docs: DataFrame, id_col: str, text: Column, patterns=SECURITY)
     return rows.select("id", "line", F.explode(hits).alias("h")).select("id", "line", "h.pattern", "h.severity")
 
 
-def call_references(docs: DataFrame, id_col: str, text: Column, own_name: Column | None = None) -> DataFrame:
+def call_references(docs: DataFrame, id_col: str, text: Column, skip_definitions: bool = False) -> DataFrame:
     """(id, line, name): names before an opening bracket, after strings and comments are taken out; once a line."""
     code = F.regexp_replace(F.regexp_replace(F.col("content"), "\"[^\"]*\"|'[^']*'|`[^`]*`", ""), "//.*|#.*|--.*", "")
+    if skip_definitions:
+        code = F.regexp_replace(code, "(^|[^A-Za-z0-9_])(def|function|func|fn|fun|sub)\\s+[A-Za-z_][A-Za-z0-9_]*", "")
     rows = lines(docs, id_col, text).where(F.contains("content", F.lit("(")))
     each = rows.select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all(code, F.lit("([A-Za-z_][A-Za-z0-9_]*)\\s*\\("), F.lit(1)))).alias("name"))
     return each.where(~F.col("name").isin(*NOT_CALLS))
