@@ -87,8 +87,8 @@ def update(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_col: s
     rows = address(versions, id_col, text_col)
     known = cut(rows.select("id", "blob"), "secrets-versions")
     seen = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
-    todo = known.join(seen, "blob", "left_anti").groupBy("blob").agg(F.min(F.struct("id")).alias("s")).select("blob", F.col("s.id").alias("id"))
-    todo = cut(todo, "secrets-todo")
+    # one row a blob before it meets the ledger, so a hot blob is summed where it lies
+    todo = cut(known.groupBy("blob").agg(F.min("id").alias("id")).join(seen, "blob", "left_anti"), "secrets-todo")
     same = lambda a, b: a.id.eqNullSafe(b.id) & (a.blob == b.blob)
     skip = cut(known.join(todo, same(known, todo), "left_anti").distinct(), "secrets-skip")
     if skip.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
