@@ -56,12 +56,20 @@ def collapse_groups(df: DataFrame, group: str, score: str, id_col: str, least: i
 def top_decile(df: DataFrame, score: str, share: float = 0.1) -> DataFrame:
     """One row: the value at place floor(n * share) - 1 (0 at least) of the positive scores in descending order.
 
-    The place is found through counts of equal scores, so the running sum covers distinct values only.
+    Counts of equal scores are dealt out by range; the counts of the ranges tell which one holds the place, and
+    only that one is numbered. No task sees more than a range.
     """
+    from siftwright.operators.graph import cut
+
     some = df.where(F.col(score) > 0).groupBy(score).agg(F.count("*").alias("n"))
-    run = some.withColumn("upto", F.sum("n").over(Window.orderBy(F.col(score).desc()))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    dealt = cut(some.repartitionByRange(F.col(score).desc()).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("in_part"), F.max(score).alias("most"))
+    order = Window.orderBy(F.col("most").desc())  # a row for each range
+    run = sums.withColumn("before", F.sum("in_part").over(order) - F.col("in_part")).withColumn("all", F.sum("in_part").over(Window.partitionBy()))
     place = F.greatest(F.floor(F.col("all") * share) - 1, F.lit(0))
-    return run.where(F.col("upto") > place).agg(F.max(score).alias("threshold"), F.max("all").alias("n"))
+    held = run.withColumn("place", place).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("in_part")))
+    rows = dealt.join(F.broadcast(held), "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(F.col(score).desc())))
+    return rows.where(F.col("upto") > F.col("place")).agg(F.max(score).alias("threshold"), F.max("all").alias("n"))
 
 
 def pack_skip(df: DataFrame, group: list[str], order: list[Column], cost: str, id_col: str, budget: int) -> DataFrame:

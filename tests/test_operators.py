@@ -174,3 +174,11 @@ def test_markdown_memories_and_vectors(spark):
     assert got == [("Choices", "never drop a row to escape skew"), ("Choices", "we keep every row of the table"), ("Note", "The first paragraph counts here.")]
     v = audit.embed(spark.createDataFrame([(1, "some words"), (2, None)], "id long, t string"), "id", "t").orderBy("id").collect()
     assert abs(np.linalg.norm(v[0].vector) - 1) < 1e-5 and not any(v[1].vector)
+
+
+def test_top_decile_of_ties_and_nothing(spark):
+    df = spark.createDataFrame([(float(i % 40),) for i in range(1000)], "s double")
+    values = sorted((float(i % 40) for i in range(1000) if i % 40), reverse=True)
+    assert ranking.top_decile(df, "s").first()[:] == (values[len(values) // 10 - 1], len(values))
+    assert ranking.top_decile(df.limit(0), "s").first()[:] == (None, None)
+    assert ranking.top_decile(spark.createDataFrame([(3.0,)], "s double"), "s").first()[:] == (3.0, 1)
