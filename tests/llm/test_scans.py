@@ -135,3 +135,16 @@ def test_ledger_scans_only_what_it_lacks(spark, make, tmp_path):
     assert {(r.id, r.kind) for r in secrets.findings(known, ledger).collect()} == {(1, "assign"), (5, "access")}
     secrets.update(later, ledger, rule_version=2)
     assert secrets.read_ledger(spark, ledger).where("rule_version = 2").count() == 3
+
+
+def test_shuffle_variants_agree(corpus, monkeypatch):
+    """Beyond the broadcast bounds a shuffle join does the same work."""
+    from siftwright.llm import common, minhash
+
+    rows, docs = corpus
+    some = docs.where("doc_id < 60").union(docs.where("doc_id < 20"))
+    run = lambda: (sorted(map(tuple, secrets.scan(some).collect())), sorted(map(tuple, minhash.near_duplicates(some).collect())))
+    a = run()
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    assert a == run()
