@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stragglers = packed(open_.where("label <> main"), F.col("all") - F.col("most"), PACK, "stragglers")
     met = packed(open_, F.col("all"), 2 * PACK, "members").join(stragglers, ["band", "key"]).select("band", "members", "stragglers")
     likely = cut(met.mapInArrow(_cross(percent, 100, least), "a long, b long"), "minhash-cross")
-    comp = components(links.union(verified(likely)))
+    # cut first: no task then runs two Python workers, one behind the other
+    comp = components(cut(links.union(verified(likely)), "minhash-links"))
 
     named = reps.select("fp1", "fp2", "n", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), F.col("n").alias("fn"), F.coalesce("comp", "id").alias("comp"))
     out = every.select("id", "n", "fp1", "fp2").join(named, (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("fn")), "left")
