@@ -184,20 +184,20 @@ def _bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, bits_x:
 
 
 def _cross(num: int, den: int, least: float):
-    """Rows (band, pack of members, pack of stragglers) -> pairs to verify, each in its first shared band only."""
+    """Rows (band, pack of members, pack of stragglers) -> pairs to verify, each in the first band whose bucket it shares only."""
 
     def parts(column) -> tuple:
-        """Offsets, and the ids, sizes, labels, main marks, signatures and bitmaps of all entries of a column of packs."""
+        """Offsets, and the ids, sizes, labels, main marks, signatures, band keys and bitmaps of all entries of a column of packs."""
         flat, ends = column.flatten(), column.value_lengths().to_numpy().cumsum()
         sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint8).reshape(len(flat), -1)
-        return np.concatenate([[0], ends]), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "in_main")), sig, flat.field("bits").to_pylist()
+        keys = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        return np.concatenate([[0], ends]), *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "label", "in_main")), sig, keys, flat.field("bits").to_pylist()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at_x, id_x, n_x, label_x, main_x, sig_x, bits_x = parts(batch.column("members"))
-            at_y, id_y, n_y, label_y, _, sig_y, bits_y = parts(batch.column("stragglers"))
+        # in slices: what is copied out of a batch isn't held for all of its packs
+        for batch in (whole.slice(i, PACK) for whole in batches for i in range(0, whole.num_rows, PACK)):
+            at_x, id_x, n_x, label_x, main_x, sig_x, keys_x, bits_x = parts(batch.column("members"))
+            at_y, id_y, n_y, label_y, _, sig_y, keys_y, bits_y = parts(batch.column("stragglers"))
             out = []
             for r, band in enumerate(batch.column("band").to_pylist()):
                 x, y = slice(at_x[r], at_x[r + 1]), slice(at_y[r], at_y[r + 1])
@@ -206,8 +206,10 @@ def _cross(num: int, den: int, least: float):
                 # two stragglers meet from both sides: one of them counts
                 good = (label_x[x, None] != label_y[None, y]) & (main_x[x, None] | (j < i)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
                 a, b = np.nonzero(good)
-                same = sig_x[x][a] == sig_y[y][b]
-                keep = (same.mean(1) >= least) & (same.reshape(len(a), same.shape[1] // ROWS, ROWS).all(2).argmax(1) == band)
+                keep = (sig_x[x][a] == sig_y[y][b]).mean(1) >= least
+                a, b = a[keep], b[keep]
+                # by the keys of the buckets: the 8-bit registers of a band may be equal where its bucket isn't shared
+                keep = (keys_x[x][a] == keys_y[y][b]).argmax(1) == band
                 a, b = a[keep], b[keep]
                 keep = _bounded(a, b, n_x[x], n_y[y], bits_x[x], bits_y[y], num, den)
                 i, j = id_x[x][a[keep]], id_y[y][b[keep]]
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(placed.join(cut(shared, "minhash-shared"), ["band", "key"]), "minhash-members")
     wanted = cut(members.select("id").distinct(), "minhash-wanted")
     full = cut(semi_ids(source, "id", wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary, bits binary"), "minhash-sets")
-    small = cut(semi_ids(reps.select("id", "n", "sig"), "id", wanted, "id"), "minhash-small")
+    small = cut(semi_ids(reps.select("id", "n", "bands", "sig"), "id", wanted, "id"), "minhash-small")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = sums.groupBy("band", "key").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
     open_ = own.join(mixed, ["band", "key"]).join(small, "id").join(full.select("id", "bits"), "id")
     open_ = cut(open_, "minhash-open")
-    entry = F.struct("id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), "sig", "bits")
+    entry = F.struct("id", "n", "label", (F.col("label") == F.col("main")).alias("in_main"), "bands", "sig", "bits")
 
     def packed(rows: DataFrame, count, size: int, name: str) -> DataFrame:
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(count / size)))

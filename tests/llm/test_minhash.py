@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose
 
@@ -111,3 +112,27 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(200, 260)] + [(7, 7), (None, 3)]
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(200, 260)}
+
+
+def test_stragglers_whose_short_registers_collide_are_paired():
+    rng = np.random.default_rng(6)
+    bands = minhash.bands_for(0.85)
+    sets = []
+    for _ in range(3000):
+        both = rng.integers(0, 1 << 63, 94, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 6, dtype=np.uint64)])) for _ in range(2)]
+    reg = np.concatenate([minhash.super_minhash(sets[i : i + 500], bands * minhash.ROWS) for i in range(0, len(sets), 500)])
+    key = np.zeros((len(sets), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(minhash.ROWS):
+        key = common.mix64(key * np.uint64(0x9E3779B97F4A7C15) + reg[:, r :: minhash.ROWS])
+    short = (common.mix64(reg) >> np.uint64(56)).astype(np.uint8)
+    entry = [{"id": i, "n": len(sets[i]), "label": i, "in_main": i % 2 == 0, "bands": key[i].view(np.int64).tolist(), "sig": short[i].tobytes(), "bits": minhash.bitmap(sets[i])} for i in range(len(sets))]
+    # every bucket that a pair meets in, as the query packs it
+    met = [(band, i) for i in range(0, len(sets), 2) for band in np.flatnonzero(key[i] == key[i + 1]).tolist()]
+    shape = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("in_main", pa.bool_()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("bits", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in met]), pa.array([[entry[i], entry[i + 1]] for _, i in met], shape), pa.array([[entry[i + 1]] for _, i in met], shape)], names=["band", "members", "stragglers"])
+    got = [pair for out in minhash._cross(85, 100, 0.5)([batch]) for pair in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    assert sorted(got) == sorted({(i, i + 1) for _, i in met})
+    # and the short registers of some do collide before the first shared band
+    alike = (short[::2] == short[1::2]).reshape(-1, bands, minhash.ROWS).all(2).argmax(1)
+    assert (alike != (key[::2] == key[1::2]).argmax(1)).any()
