@@ -172,6 +172,13 @@ def _edges(t):
     return a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_partkey") != F.col("b.l_partkey"))).where((F.col("a.l_partkey") * 7 + F.col("b.l_partkey") * 3) % 5 < 2).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"), F.lit(1.0).alias("weight"))
 
 
+def _all_edges(t):
+    """Links between all parts of an order, in both directions; one for each order that two parts share."""
+    p = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    a, b = p.select("l_orderkey", F.col("l_partkey").alias("src")), p.select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))
+
+
 _E = "p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= 400), e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE (a.l_partkey * 7 + b.l_partkey * 3) % 5 < 2)"
 
 
@@ -221,9 +228,9 @@ def boundary_gate(t):
 
 @query()
 def lpa_clusters(t):
-    """Synchronous label propagation: compared with a plain loop in the tests."""
-    nodes = t.part.where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rank"))
-    return graph.clusters(nodes, _edges(t))
+    """Synchronous label propagation over all parts and orders: compared with a plain loop in the tests."""
+    nodes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rank"))
+    return graph.clusters(nodes, _all_edges(t))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_partkey + 1 + l_linenumber AS dst FROM lineitem WHERE l_partkey < 12 AND l_linenumber <= 2), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), w AS (SELECT id, 0 AS level FROM n UNION SELECT e.dst, level + 1 FROM w JOIN e ON w.id = e.src) SELECT id, max(level) AS level FROM w GROUP BY 1")

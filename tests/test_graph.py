@@ -78,3 +78,16 @@ def test_edits_replace_out_edges(spark):
     e = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     got = graph.apply_edits(e, spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1, 3)], "src long, dst long")).collect()
     assert {tuple(r) for r in got} == {(1, 3), (2, 3)}
+
+
+def test_lpa_clusters_takes_all_parts_and_pairs(spark, tmp_path):
+    from siftwright.plans.catalog import QUERIES
+
+    # two groups of parts beyond 400, each bought together; (a * 7 + b * 3) % 5 takes every value among the pairs
+    groups = [range(901, 906), range(2001, 2004)]
+    items = [(order, part) for order, g in enumerate(groups) for part in g]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(part, float(part)) for _, part in items] + [(7, 1.0)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: (r.cluster, r.size, r.total, r.hub) for r in QUERIES["lpa_clusters"](spark, str(tmp_path)).collect()}
+    want = sorted(((sum(map(float, g)), g) for g in groups), reverse=True)
+    assert got == {i: (k, len(g), total, max(g)) for k, (total, g) in enumerate(want, 1) for i in g}
