@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -312,13 +313,23 @@ def unchanged(concepts: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(concepts.select("cluster", "hash"), ["cluster", "hash"], "left_anti")
 
 
+#: What JavaScript's \s matches.
+_BLANKS = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
 def fallback_vector(text: str, dims: int = 384) -> np.ndarray:
-    """A deterministic unit vector of the first words, for when there is no model."""
-    v = np.zeros(dims)
-    d = np.arange(1, dims + 1)
-    for w, word in enumerate((text or "").lower().split()[:128]):
-        code = sum(map(ord, word)) % 9973
-        v += np.sin(code * d * 0.01 + w * 0.1) / (1 + 0.1 * w)
+    """A deterministic unit vector of all characters of all words, for when there is no model.
+
+    Character c (UTF-16) of word w adds sin(0.01 c d + 0.1 w) / (1 + 0.1 w) to dimension d, counting from 1. That is the
+    imaginary part of a factor of w times one of c and d, so weights are summed by character first.
+    """
+    words = [np.frombuffer(x.encode("utf-16-le", "surrogatepass"), np.uint16) for x in _BLANKS.split((text or "").lower())]
+    w = np.repeat(np.arange(len(words)), list(map(len, words)))
+    chars, at = np.unique(np.concatenate(words), return_inverse=True)
+    share = 1 / (1 + 0.1 * w)
+    re_, im = (np.bincount(at, f(0.1 * w) * share, len(chars)) for f in (np.cos, np.sin))
+    angle = 0.01 * np.outer(chars.astype(np.float64), np.arange(1, dims + 1))
+    v = re_ @ np.sin(angle) + im @ np.cos(angle)
     size = np.linalg.norm(v)
     return v / size if size else v
 

@@ -182,3 +182,26 @@ def test_top_decile_of_ties_and_nothing(spark):
     assert ranking.top_decile(df, "s").first()[:] == (values[len(values) // 10 - 1], len(values))
     assert ranking.top_decile(df.limit(0), "s").first()[:] == (None, None)
     assert ranking.top_decile(spark.createDataFrame([(3.0,)], "s double"), "s").first()[:] == (3.0, 1)
+
+
+def test_fallback_vectors_take_every_word_character_and_document(spark, sf_dir):
+    import math
+
+    from siftwright.operators import audit
+    from siftwright.plans.catalog import QUERIES
+
+    def plain(text, dims=384):
+        v = [0.0] * dims
+        for w, word in enumerate(text.lower().split(" ")):
+            for c in word:
+                for d in range(dims):
+                    v[d] += math.sin(ord(c) * (d + 1) * 0.01 + w * 0.1) / (1 + w * 0.1)
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / size for x in v]
+
+    long_ = " ".join(f"Word{i}" for i in range(140))
+    for text in ("ab ba", "ba ab", " lead", long_, long_ + " more"):
+        assert max(abs(x - y) for x, y in zip(audit.fallback_vector(text), plain(text), strict=True)) < 1e-6
+    assert not audit.fallback_vector("").any()
+    assert abs(audit.fallback_vector(long_) - audit.fallback_vector(long_ + " more")).max() > 1e-6
+    assert QUERIES["fallback_vectors"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
