@@ -126,6 +126,23 @@ def test_passages(make, passage, seed):
     assert all(sum(b - a for a, b in (map(int, s.split(":")) for s in r.spans.split(","))) == r.n_repeated_words for r in got.values())
 
 
+def test_passages_over_many_blocks(make, spark):
+    """A hot passage whose sorted suffixes fill many blocks, with several ways to go on at its left, equals brute force."""
+    rng = random.Random(12)
+    hot, tails = prose(rng, 40, 3000), [prose(rng, n, 3000) for n in (3, 9, 14, 30)]
+    rows = [(i, f"{prose(rng, rng.randrange(30), 3000)} {rng.choice(tails)} {hot} {rng.choice(tails)} {prose(rng, 9, 3000)}") for i in range(70)]
+    rows += [(100, f"{hot} {tails[0]} {hot} {tails[0]}"), (100, f"{tails[3]} {hot}")]
+    got = {}
+    for size in (10_000, 7, 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            got[size] = sorted(map(tuple, suffix.repeated_passages(make(rows[:-1]).repartition(5)).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[10_000] == got[7] == got[1]
+    assert {r[0]: r[2] for r in got[1]} == plain_repeats(rows[:-1], 50)
+
+
 def test_passages_odd_rows(odd, none):
     assert suffix.repeated_passages(odd).count() == 0
     assert suffix.repeated_passages(none).count() == 0
