@@ -216,9 +216,50 @@ def test_mixing_meets_its_targets(spark, sf_dir):
     targets = {"clean": 0.8, "junk": 0.1, "toxic": 0.1}
     got = mixing.mix(docs, labels, targets).collect()
     n = sum(r.tokens for r in got)
-    assert len(got) == 1000 and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    assert len(got) == 1000 and all(0 <= r.rate <= mixing.MAX_RATE and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
     for name, share in targets.items():
-        assert sum(r.rate * r.tokens * r[f"p_{name}"] for r in got) / n == pytest.approx(share, abs=0.01)
+        assert sum(r.rate * r.tokens * r[f"p_{name}"] for r in got) / n == pytest.approx(share, rel=1e-3)
+
+
+def test_mixing_says_what_is_out_of_reach(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.mix(docs, labels, {"clean": 0.0, "junk": 0.5, "toxic": 0.5})
+
+
+@pytest.mark.parametrize("wanted", [(0.7, 0.2, 0.1), (0.97, 0.02, 0.01), (0.2, 0.4, 0.4)])
+def test_mixing_is_least_squares(spark, wanted):
+    """No worse than many small steps of plain projected gradient, whether or not the targets are in reach."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([8, 1, 0.5], 300)
+    t = rng.integers(1, 400, 300)
+    plan = mixing.solve(spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p, strict=True)], "tokens long, p_clean double, p_junk double, p_toxic double"), dict(zip(mixing.DOMAINS, wanted, strict=True)))
+    m, w = (p * t[:, None]).T / t.sum(), np.array(wanted)
+    weight = 1 / m.sum(1)
+    r = np.ones(300)
+    for _ in range(40_000):
+        r = np.clip(r - 0.5 * p @ (weight * (m @ r - w)), 0, mixing.MAX_RATE)
+    cost = lambda share: float((weight * (share - w) ** 2).sum())
+    got = np.array([plan.achieved[d] for d in mixing.DOMAINS])
+    assert cost(got) <= cost(m @ r) * 1.1 + 1e-6
+    if plan.met:
+        assert np.allclose(got, w, rtol=2 * mixing.CLOSE)
+
+
+def test_mixing_posteriors_are_chances(spark, sf_dir):
+    """Learnt on one half of the labels: on the other, words that tell toxic texts are found, and chances add up to counts."""
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit(docs, labels.where("crc32(cast(doc_id AS string)) % 2 = 0"), "doc_id", "text")
+    p = mixing.posteriors(docs, model, "doc_id", "text")
+    rows = p.join(labels.where("crc32(cast(doc_id AS string)) % 2 = 1"), p.id == labels.doc_id).join(docs.select("doc_id", "text"), "doc_id").collect()
+    told = [r for r in rows if r.toxic and any(x in r.text.lower() for x in ("idiot", "pathetic", "moron", "scum", "worthless", "clown", "loser", "stupid", "trash"))]
+    assert len(told) > 10 and sum(r.p_toxic > 0.5 for r in told) / len(told) > 0.8
+    clean = [r for r in rows if not r.toxic and r.quality == 1]
+    assert sum(r.p_clean > 0.5 for r in clean) / len(clean) > 0.97
+    assert abs(sum(r.p_toxic for r in rows) - sum(r.toxic for r in rows)) < 0.05 * len(rows)
 
 
 def test_mixing_odd_rows(odd, none, labels):
