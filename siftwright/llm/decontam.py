@@ -1,22 +1,24 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window of a document has as many words as the item that it is compared with. Windows without a 5-word shingle
-of the item have similarity 0, so windows are laid only where a shingle of some item stands, aligned with its
-place in the item. A window's 128-bit SimHash is looked up in a multi-index of 16 blocks of 8 bits: two
-fingerprints within RADIUS bits of each other differ by at most RADIUS // 16 bits in some block, so trying all
-block values so near finds every item within the radius. Candidates are verified by the exact weighted Jaccard
-similarity of their shingles (weights: how often each stands there).
+A window of a document has as many words as the items that it is compared with: items fall into classes by
+their number of words, and each class has an index of its own. Two bags of shingles of the wanted similarity t
+and sizes a and b share t (a + b) / (1 + t) shingles at least, so windows are laid wherever so many of their shingles
+stand in some item of the class, at every such start. A window's 512-bit SimHash is looked up in a multi-index of 64 blocks of 8
+bits: of two fingerprints within RADIUS bits, at most RADIUS // (NEAR + 1) blocks differ by more than NEAR bits, so
+every fingerprint within the radius agrees so nearly in AGREE blocks or more, and few others do. Candidates
+are verified by the exact weighted Jaccard similarity of their shingles (weights: how often each stands there).
 
-The items travel to the executors in passes of at most PASS_BYTES of text each, so the index that a task holds
-is bounded whatever the size of the benchmark.
+The items travel to the executors as broadcast indexes of at most PASS_BYTES of text each (an index takes about five
+times its text), so what a task holds is bounded whatever the size of the benchmark.
 
 Defined results. Null or blank texts and items match nothing. A text or item of fewer than five words is one
 shingle. A null document id may be reported; null item ids too. A repeated row gives its matches again; of
-repeated items each is reported. Extra columns are ignored; empty tables give an empty result.
+repeated items each is reported; of equally similar windows the first. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -28,22 +30,38 @@ from .common import hash_words, lower_words, mix64, run_hashes, text_pieces
 
 K = 5
 THRESHOLD = 0.8
-#: A similarity of 0.8 moves 19 of 128 bits on average, with a standard deviation of 4.
-RADIUS = 39
-BLOCKS = 16
+BLOCKS = 64
+#: A similarity of 0.8 moves 79 of 512 bits on average, with a standard deviation of 8.2: this is 5.6 of them beyond.
+RADIUS = 125
+#: Blocks are near if they differ by so many of their 8 bits at most.
+NEAR = 2
+#: Pigeonhole: so many blocks are near for every two fingerprints within the radius.
+AGREE = BLOCKS - RADIUS // (NEAR + 1)
 PASS_BYTES = 32 << 20
+#: Windows whose fingerprints are made at once.
+STEP = 256
 
+_VALUES = np.arange(256, dtype=np.uint8)
+_NEAR = np.bitwise_count(_VALUES[:, None] ^ _VALUES[None, :]) <= NEAR
+_SALTS = mix64(np.arange(1, BLOCKS // 8 + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
 
-def shingles(words: list[bytes], k: int = K, h: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the k-word shingles in order."""
-    return run_hashes(hash_words(words) if h is None else h, k)
+
+def votes(sh: np.ndarray) -> np.ndarray:
+    """A row of bits for each shingle."""
+    raw = mix64(sh[:, None] ^ _SALTS[None, :]).view(np.uint8)
+    return np.unpackbits(raw, axis=1)
 
 
 def simhash(sh: np.ndarray) -> np.ndarray:
-    """16 bytes: each bit is the majority over the shingles, repeats counted."""
-    raw = np.column_stack([mix64(sh), mix64(sh ^ np.uint64(0x94D049BB133111EB))]).view(np.uint8)
-    bits = np.unpackbits(raw, axis=1)
-    return np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(sh))
+    """BLOCKS bytes: each bit is the majority over the shingles, repeats counted."""
+    return np.packbits(votes(sh).sum(0, dtype=np.int64) * 2 > len(sh))
+
+
+def windows_simhash(sh: np.ndarray, size: int) -> np.ndarray:
+    """The same for every run of ``size`` shingles, a row each."""
+    total = np.zeros((len(sh) + 1, 8 * BLOCKS), np.int32)
+    np.cumsum(votes(sh), axis=0, dtype=np.int32, out=total[1:])
+    return np.packbits((total[size:] - total[:-size]) * 2 > size, axis=1)
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -54,61 +72,93 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 class Index:
     """The items of one pass."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int = RADIUS):
-        self.radius = radius
-        self.items = []
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.ids, self.sizes, shingles, owners = [], [], [], []
         for i, text in items:
-            words = lower_words((text or "").encode())
-            if words:
-                k = min(K, len(words))
-                sh = shingles(words, k)
-                self.items.append((i, len(words), Counter(sh.tolist()), sh, k))
-        self.prints = np.array([simhash(x[3]) for x in self.items], np.uint8).reshape(-1, BLOCKS)
-        where: dict[int, list[tuple[int, int]]] = {}
-        for at, (_, _, _, sh, _) in enumerate(self.items):
-            for offset, x in enumerate(sh.tolist()):
-                where.setdefault(x, []).append((at, offset))
-        self.where = where
-        #: sorted shingles of the items by their length: an item of fewer than K words is one shorter shingle
-        self.keys = {k: np.unique(np.concatenate([x[3] for x in self.items if x[4] == k])) for k in sorted({x[4] for x in self.items})}
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // BLOCKS
-        # table[block][value]: the items whose block is near the value
-        self.table = [[np.flatnonzero(near[v][self.prints[:, b]]) for v in range(256)] for b in range(BLOCKS)]
-
-    def within(self, fingerprint: np.ndarray) -> np.ndarray:
-        """Every item whose fingerprint is within the radius."""
-        some = np.unique(np.concatenate([self.table[b][v] for b, v in enumerate(fingerprint.tolist())]))
-        return some[np.bitwise_count(self.prints[some] ^ fingerprint).sum(1) <= self.radius]
-
-    def hits(self, sh: np.ndarray, k: int) -> np.ndarray:
-        """Places of the shingles that stand in some item."""
-        at = np.searchsorted(self.keys[k], sh)
-        return np.flatnonzero(self.keys[k][np.minimum(at, len(self.keys[k]) - 1)] == sh)
+            if words := lower_words((text or "").encode()):
+                owners.append(len(self.ids))
+                shingles.append(run_hashes(hash_words(words), min(K, len(words))))
+                self.ids.append(i)
+                self.sizes.append(len(words))
+        sizes = np.array(self.sizes, np.int64)
+        #: by words of an item: its members, and their blocks, a row for each block
+        self.classes = {}
+        for size in np.unique(sizes).tolist():
+            members = np.flatnonzero(sizes == size)
+            self.classes[size] = members, np.ascontiguousarray(np.array([simhash(shingles[m]) for m in members.tolist()]).T)
+        #: by shingle length: sorted shingles, and for each the classes that hold it
+        self.keys = {}
+        for k in np.unique(np.minimum(sizes, K)).tolist():
+            some = [s for s, n in zip(shingles, sizes, strict=True) if min(n, K) == k]
+            of = np.repeat(sizes[np.minimum(sizes, K) == k], [len(s) for s in some])
+            pairs = np.unique(np.column_stack([np.concatenate(some), of.astype(np.uint64)]), axis=0)
+            keys, starts = np.unique(pairs[:, 0], return_index=True)
+            self.keys[k] = keys, np.append(starts, len(pairs)), pairs[:, 1].astype(np.int64)
+        self.ends = np.cumsum([0, *map(len, shingles)])
+        self.shingles = np.concatenate(shingles) if shingles else np.empty(0, np.uint64)
+
+    def bag(self, item: int) -> Counter:
+        return Counter(self.shingles[self.ends[item] : self.ends[item + 1]].tolist())
+
+    def candidates(self, size: int, fingerprint: np.ndarray) -> np.ndarray:
+        """Places within the class of the items that agree with the fingerprint in enough blocks."""
+        return np.flatnonzero(_NEAR[fingerprint[:, None], self.classes[size][1]].sum(0) >= AGREE)
+
+    def within(self, size: int, fingerprint: np.ndarray) -> np.ndarray:
+        """Every item of the class whose fingerprint is within the radius."""
+        members, prints = self.classes[size]
+        some = self.candidates(size, fingerprint)
+        return members[some[np.bitwise_count(prints[:, some] ^ fingerprint[:, None]).sum(0, dtype=np.int64) <= RADIUS]]
+
+    def hits(self, sh: np.ndarray, k: int) -> dict[int, np.ndarray]:
+        """By class, the places of the shingles that stand in some item of it."""
+        keys, starts, classes = self.keys[k]
+        at = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
+        p = np.flatnonzero(keys[at] == sh)
+        if not len(p):
+            return {}
+        first, n = starts[at[p]], starts[at[p] + 1] - starts[at[p]]
+        # the class lists of all hits, one after the other
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        of, place = classes[np.repeat(first, n) + inner], np.repeat(p, n)
+        order = np.argsort(of, kind="stable")
+        sizes, cuts = np.unique(of[order], return_index=True)
+        return dict(zip(sizes.tolist(), np.split(place[order], cuts[1:]), strict=True))
 
     def match(self, words: list[bytes], threshold: float) -> list[tuple]:
         """(item id, similarity, first word, words) of the best window for each matching item."""
         h = hash_words(words)
         best: dict[int, tuple] = {}
         for k in self.keys:
-            sh = shingles(words, k, h)
-            windows = set()
-            for p in self.hits(sh, k).tolist():
-                for at, offset in self.where[int(sh[p])]:
-                    size = min(self.items[at][1], len(words))
-                    windows.add((min(max(p - offset, 0), len(words) - size), size))
-            for start, size in sorted(windows):
-                part = sh[start : start + size - k + 1]
-                bag = Counter(part.tolist())
-                for at in self.within(simhash(part)).tolist():
-                    s = weighted_jaccard(bag, self.items[at][2])
-                    if s >= threshold and s > best.get(at, (0.0,))[0]:
-                        best[at] = (s, start, size)
-        return [(self.items[at][0], *found) for at, found in sorted(best.items())]
-
-
-def _search(items: list, threshold: float):
+            sh = run_hashes(h, k)
+            for size, p in self.hits(sh, k).items():
+                length = min(size, len(words))
+                n = length - k + 1
+                need = math.ceil(threshold * (n + size - k + 1) / (1 + threshold) - 1e-9)
+                if len(p) < need:
+                    continue
+                # runs of as many hits as are needed, near enough for one window: all starts of windows that hold them
+                first, last = np.maximum(p[need - 1 :] - n + 1, 0), np.minimum(p[: len(p) - need + 1], len(words) - length)
+                good = first <= last
+                starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first[good], last[good], strict=True)])) if good.any() else first[:0]
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                    for a in range(0, len(part), STEP):
+                        some = part[a : a + STEP]
+                        for start, fingerprint in zip(some.tolist(), windows_simhash(sh[some[0] : some[-1] + n], n), strict=True):
+                            self._verify(sh[start : start + n], start, length, self.within(size, fingerprint).tolist(), threshold, best)
+        return [(self.ids[at], *found) for at, found in sorted(best.items())]
+
+    def _verify(self, sh: np.ndarray, start: int, length: int, items: list[int], threshold: float, best: dict) -> None:
+        bag = Counter(sh.tolist()) if items else None
+        for at in items:
+            s = weighted_jaccard(bag, self.bag(at))
+            if s >= threshold and s > best.get(at, (0.0,))[0]:
+                best[at] = (s, start, length)
+
+
+def _search(shared, threshold: float):
     def run(batches):
-        index = Index(items)
+        index = shared.value
         for batch in batches:
             for ids, texts in text_pieces(batch):
                 out = []
@@ -122,7 +172,12 @@ def _search(items: list, threshold: float):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document and item found in it: id, item, similarity, first_word, words of the best window."""
+    """A row for each document and item found in it: id, item, similarity, first_word, words of the best window.
+
+    ``threshold`` is THRESHOLD or more: the radius is made for that.
+    """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the radius of the index is made for similarities of {THRESHOLD} or more")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -130,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for p in range(passes):
         some = items if passes == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p)
-        rows = [(r.item, r.text) for r in some.collect()]
-        part = source.mapInArrow(_search(rows, threshold), "id long, item long, similarity double, first_word long, words long")
+        shared = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in some.orderBy("item", "text").collect()]))
+        part = source.mapInArrow(_search(shared, threshold), "id long, item long, similarity double, first_word long, words long")
         found = part if found is None else found.union(part)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import K, THRESHOLD
 from .secrets import BASE_KINDS, KINDS
 from .suffix import PASSAGE
 
@@ -30,6 +31,21 @@ SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_repeated_words, stri
 """
 
 
+#: Every window of an item's size that lies over a shared shingle; only pairs with too few shared shingles are left out.
+LEAKS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, ws, len(ws) AS size, least({K}, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+a AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, unnest(list_transform(range(1, size - k + 2), lambda p: array_to_string(ws[p : p + k - 1], ' '))) AS x FROM i) GROUP BY ALL),
+s AS (SELECT doc_id, len(ws) AS n_words, k, unnest(range(0, len(ws) - k + 1)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p : p + k - 1], ' '))) AS x FROM d, (SELECT DISTINCT k FROM i) WHERE len(ws) >= k),
+h AS (SELECT doc_id, item_id, p, x, c, least(size, n_words) AS words, least(size, n_words) - i.k + 1 AS n, size - i.k + 1 AS m, n_words FROM s JOIN a USING (x) JOIN i USING (item_id) WHERE s.k = i.k),
+q AS (SELECT doc_id, item_id, n, m, words, n_words, min(p) AS lo, max(p) AS hi FROM h GROUP BY ALL HAVING (1 + {THRESHOLD}) * count(*) >= {THRESHOLD} * (n + m) - 1e-6),
+w AS (SELECT doc_id, item_id, n, m, words, unnest(range(greatest(0, lo - n + 1), least(hi, n_words - words) + 1)) AS start FROM q),
+b AS (SELECT doc_id, item_id, w.n, w.m, w.words, start, x, least(count(*), any_value(c)) AS k FROM w JOIN h USING (doc_id, item_id) WHERE p BETWEEN start AND start + w.n - 1 GROUP BY ALL),
+j AS (SELECT doc_id, item_id, words, start, sum(k)::DOUBLE / (n + m - sum(k)) AS similarity FROM b GROUP BY doc_id, item_id, words, start, n, m)
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_max(start, (similarity, -start)) AS first_word, any_value(words) AS words FROM j WHERE similarity >= {THRESHOLD} GROUP BY doc_id, item_id
+"""
+
+
 def _either(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 

@@ -67,4 +67,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_quality, op3_secrets, op4_line_freq, op5_decontaminate, op6_licenses, op7_pii, op8_rules, op9_suffix, op10_mixing)}
 
 #: The other operators learn a model, search fuzzily or parse by hand: tests compare those with brute force.
-ORACLE_SQL: dict[str, str] = {"op1_minhash": oracle.MINHASH, "op3_secrets": oracle.SECRETS, "op4_line_freq": line_freq.SQL, "op9_suffix": oracle.SUFFIX}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": oracle.MINHASH, "op3_secrets": oracle.SECRETS, "op4_line_freq": line_freq.SQL, "op5_decontaminate": oracle.LEAKS, "op9_suffix": oracle.SUFFIX}

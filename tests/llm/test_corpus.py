@@ -157,7 +157,8 @@ def test_leaks(make, spark):
         w = prose(rng, 300, 5000).split()
         item = items[rng.randrange(6)][1].split()
         for _ in range(rng.randrange(4)):
-            item[rng.randrange(len(item))] = "edit"
+            edit = rng.randrange(len(item))
+            item[edit : edit + rng.choice([1, 1, 0, 1])] = rng.choice([["edit"], [], ["two", "words"]])
         at = rng.randrange(300)
         rows.append((i, " ".join(w[:at] + (item if i % 3 else []) + w[at:])))
     rows.append((500, items[1][1].upper()))
@@ -181,18 +182,33 @@ def test_leaks(make, spark):
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want) and len(want) > 20
 
 
-def test_index_finds_all_within_its_radius():
+def test_index_finds_all_within_its_radius_and_little_else():
     import numpy as np
 
     rng = np.random.default_rng(3)
     r = random.Random(1)
-    index = decontam.Index([(i, prose(r, 30, 99999)) for i in range(60)])
-    for _ in range(200):
-        f = index.prints[rng.integers(60)].copy()
-        for bit in rng.choice(128, rng.integers(0, 50), replace=False):
+    index = decontam.Index([(i, prose(r, 30, 99999)) for i in range(3000)])
+    members, prints = index.classes[30]
+    probed = 0
+    for _ in range(100):
+        f = prints[:, rng.integers(3000)].copy()
+        for bit in rng.choice(512, rng.integers(0, 140), replace=False):
             f[bit // 8] ^= 1 << (bit % 8)
-        want = np.flatnonzero(np.bitwise_count(index.prints ^ f).sum(1) <= decontam.RADIUS)
-        assert list(index.within(f)) == list(want)
+        want = np.flatnonzero(np.bitwise_count(prints ^ f[:, None]).sum(0, dtype=int) <= decontam.RADIUS)
+        assert list(index.within(30, f)) == list(members[want])
+        probed += len(index.candidates(30, f))
+    assert probed < 0.01 * 100 * 3000
+
+
+def test_items_of_one_template(make, spark):
+    """Shingles that very many items share bring forth no window for each item, and lose no match."""
+    rng = random.Random(3)
+    head = prose(rng, 24, 5000)
+    items = [(i, f"{head} question {i} is this {prose(rng, 14, 5000)}") for i in range(4000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([(i, f"{prose(rng, 50)} {items[i * 37][1]} {prose(rng, 50)}") for i in range(20)] + [(50, f"{head} {head} {prose(rng, 20)}"), (51, f"{head} " * 200)])
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect() if r.similarity == 1}
+    assert got == {(i, i * 37) for i in range(20)}
 
 
 def test_leaks_in_passes_agree(make, spark, monkeypatch):
