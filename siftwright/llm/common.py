@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ _made: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder named by spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests in local mode) a temporary folder is used.
+    Only in local mode, where driver and executors are one process, may that setting be absent: a temporary
+    folder is used then. On a cluster each machine would write to a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="siftwright-"))
         base = _own_dir[0]
@@ -57,10 +61,22 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def semi_ids(df: DataFrame, id_col: str, ids: DataFrame, ids_col: str, how: str = "left_semi") -> DataFrame:
     """Semi (or anti) join on an id. ``ids`` is broadcast only if its counted size is within BROADCAST_IDS."""
-    right = ids.select(F.col(ids_col).alias("__id"))
+    (name,) = free(df, "__id")
+    right = ids.select(F.col(ids_col).alias(name))
     if right.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         right = F.broadcast(right)
-    return df.join(right, F.col(id_col) == F.col("__id"), how)
+    return df.join(right, F.col(f"`{id_col}`") == F.col(name), how)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def text_chunks(ids: list, texts: list, limit: int = CHUNK_BYTES):
@@ -87,6 +103,13 @@ def text_pieces(batch: pa.RecordBatch, rows: int = 256):
         yield from text_chunks(*id_text(batch.slice(a, rows)))
 
 
+def str_pieces(batch: pa.RecordBatch, rows: int = 256):
+    """Pieces like those of text_pieces, with texts as strings."""
+    for a in range(0, batch.num_rows, rows):
+        part = batch.slice(a, rows)
+        yield from text_chunks(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` of the text with A-Z lowered (bytes methods touch ASCII only)."""
     return text.lower().split() if text else []

@@ -3,6 +3,9 @@
 Every version of every path is content-addressed (SHA-256 of its text). The ledger holds a row for each pair
 of blob and rule version that has been scanned, with its findings. A run scans one carrier of each blob that
 the ledger lacks under the current rules, appends it, and joins findings back to all versions that carry it.
+The rule version is a checksum of the rules, so a changed rule scans every blob anew. Rows of one blob and rule
+version are equal, and readers take one of them: runs at the same time, or a run again after a late failure,
+may append a pair twice and change no result.
 
 Defined results. A null text counts as empty. A null id is a path like any other. Repeated rows give a row
 each and are scanned as one blob. An empty table gives an empty result and appends nothing. Extra columns are
@@ -13,15 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, scratch, str_pieces
 
-#: Raise when a rule changes: blobs are then scanned anew.
-RULE_VERSION = 1
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "bearer", "jwt", "pem", "token")
 #: Most rows of a broadcast list of versions that need no scan (about 100 bytes each).
@@ -37,6 +39,8 @@ _MORE = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")),
     ("token", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}")),
 )
+#: Blobs are scanned anew under every other set of rules.
+RULE_VERSION = zlib.crc32(repr([(p.pattern, p.flags) for p in (_ASSIGN, _ACCESS, _HEX, *(x for _, x in _MORE))]).encode()) & 0x7FFFFFFF
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
@@ -54,16 +58,17 @@ SCAN_SCHEMA = "blob string, kinds array<string>, starts array<long>, ends array<
 
 def _scan(batches):
     for batch in batches:
-        rows = [find_secrets(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("blob"),
-                pa.array([[KINDS[k] for _, k, _ in r] for r in rows], pa.list_(pa.string())),
-                pa.array([[a for a, _, _ in r] for r in rows], pa.list_(pa.int64())),
-                pa.array([[b for _, _, b in r] for r in rows], pa.list_(pa.int64())),
-            ],
-            names=["blob", "kinds", "starts", "ends"],
-        )
+        for blobs, texts in str_pieces(batch):
+            rows = [find_secrets(t or "") for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(blobs, pa.string()),
+                    pa.array([[KINDS[k] for _, k, _ in r] for r in rows], pa.list_(pa.string())),
+                    pa.array([[a for a, _, _ in r] for r in rows], pa.list_(pa.int64())),
+                    pa.array([[b for _, _, b in r] for r in rows], pa.list_(pa.int64())),
+                ],
+                names=["blob", "kinds", "starts", "ends"],
+            )
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
@@ -101,16 +106,21 @@ def update(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_col: s
     return known
 
 
+def _hits(known: DataFrame, ledger: str, rule_version: int) -> DataFrame:
+    """The blobs with findings, each once."""
+    return read_ledger(known.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0)).dropDuplicates(["blob"])
+
+
 def findings(known: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> DataFrame:
     """A row for each version and finding: id, blob, kind, start, end."""
-    hits = read_ledger(known.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0))
+    hits = _hits(known, ledger, rule_version)
     each = F.explode(F.arrays_zip("kinds", "starts", "ends")).alias("f")
     return known.join(hits, "blob").select("id", "blob", each).select("id", "blob", F.col("f.kinds").alias("kind"), F.col("f.starts").alias("start"), F.col("f.ends").alias("end"))
 
 
 def digest(known: DataFrame, ledger: str, id_col: str = "doc_id", rule_version: int = RULE_VERSION) -> DataFrame:
     """A row for each version: counts of the base kinds, their digest, and all spans."""
-    hits = read_ledger(known.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0))
+    hits = _hits(known, ledger, rule_version)
     spans = F.zip_with("kinds", F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a, b)), lambda k, s: F.concat_ws(":", k, s))
     of = lambda kind: F.size(F.filter("kinds", lambda x: x == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("all", lambda s: F.substring_index(s, ":", 1).isin(*BASE_KINDS))

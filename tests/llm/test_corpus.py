@@ -80,6 +80,22 @@ def test_lines(spark, make):
     assert got == set(con.sql(line_freq.SQL).fetchall()) and any(n for *_, n in got)
 
 
+@pytest.mark.parametrize("pages", [1, 2, 3, 9, 19, 20, 21, 40])
+def test_lines_go_on_hosts_of_every_size(make, pages):
+    """A line on every page, one on three pages and one on a single page; a smaller bound is kept to as well."""
+    docs = make([(2 * i, f"footer\n{'three' if i < 3 else 'own'}\nbody {i}") for i in range(pages)])
+    text = lambda **a: "\n".join(r.text for r in line_freq.drop_lines(docs, **a).collect())
+    assert ("footer" in text()) == (pages < 3) and ("three" in text()) == (pages < 3 or pages > 29) and f"body {pages - 1}" in text()
+    assert "footer" not in text(least=1) and ("body" in text(least=1)) == (pages >= 10)
+
+
+def test_lines_of_web_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = line_freq.boilerplate(pages, line_freq.site(pages.url), pages.html)
+    assert all(r.n >= 3 and r.n > 0.1 * r.pages for r in found.collect())
+    assert line_freq.drop_lines(pages, line_freq.site(pages.url), "html").columns == pages.columns
+
+
 def test_lines_both_joins_agree(make, monkeypatch):
     docs = make([(i, f"menu\nbody {i}") for i in range(60)])
     a = {tuple(r) for r in line_freq.drop_lines(docs).collect()}
@@ -90,7 +106,8 @@ def test_lines_both_joins_agree(make, monkeypatch):
 def test_lines_odd_rows(odd, none):
     out = line_freq.drop_lines(odd, stats=False)
     assert out.columns == odd.columns and out.count() == odd.count()
-    assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in odd.collect()}
+    # the line of the repeated rows stands on three pages of the ten
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, "" if r.doc_id in (6, 7) else r.text) for r in odd.collect()}
     assert line_freq.drop_lines(none).count() == 0
 
 
