@@ -2,11 +2,14 @@
 
 A notice that occurs with at most ``e`` edits keeps at least one of ``e + 1`` pieces intact (pigeonhole). One
 Aho-Corasick pass over the normalised words finds those exact pieces; around each, the regex library's
-bounded-error matching verifies the whole notice and gives its span and number of edits. The contract's own
+bounded-error matching verifies the whole notice and gives its span and number of edits. Of spans that overlap,
+the one with the least share of edits stays, of those the longest. The notices are a table: the one given, or NOTICES. The contract's own
 phrases are found as consecutive words.
 
 Text is normalised to its words (a-z after lowering A-Z, digits, all beyond ASCII) with one blank between them.
 
+Bytes that aren't UTF-8 are read as one unknown sign each.
+
 Defined results. A null text counts as empty. Every input row gives a row, repeated rows and null ids too.
 Extra columns are ignored; an empty table gives an empty result.
 """
@@ -21,24 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import text_pieces
+from .notices import NOTICES
 
 #: Phrases of the contract and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Short notices that the fuzzy search adds, and their labels.
-NOTICES = {
-    "licensed under the gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "licensed under the apache license": "apache",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "mozilla public license": "mpl",
-    "creative commons attribution": "cc-by",
-    "licensed under cc by": "cc-by",
-    "dedicated to the public domain": "public-domain",
-    "all rights reserved": "all-rights-reserved",
-}
+#: Most notices of a table: it's held by every task.
+MAX_NOTICES = 20_000
 #: One edit for each so many characters of a notice.
 CHARS_PER_EDIT = 10
 
@@ -56,22 +48,30 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-class _Search:
-    def __init__(self):
+class Search:
+    """The automaton of the pieces of all notices, and a pattern for each notice."""
+
+    def __init__(self, notices: dict[str, str] | None = None):
+        table: dict[str, str] = {}
+        for notice, label in (NOTICES if notices is None else notices).items():
+            if key := " ".join(w.decode() for w in notice.encode().translate(_WORDS).split()):
+                table.setdefault(key, label)
         seeds: dict[str, list] = {}
-        for at, notice in enumerate(NOTICES):
+        for at, notice in enumerate(table):
             for offset, piece in pieces(notice):
                 seeds.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, where in seeds.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
-        self.notices = list(NOTICES.items())
-        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n, special_only=True)}){{e<={edits(n)}}}") for n in NOTICES]
+        self.notices = list(table.items())
+        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n, special_only=True)}){{e<={edits(n)}}}") for n in table]
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, length of the notice) in the normalised text."""
         found, done = [], [0] * len(self.notices)
+        if not self.notices:
+            return []
         for end, (size, where) in self.automaton.iter(text):
             for at, offset in where:
                 notice, label = self.notices[at]
@@ -86,50 +86,79 @@ class _Search:
         return sorted(set(found))
 
 
-_SEARCH: list[_Search] = []
+def _least_edited(found: list) -> list:
+    """Of overlapping spans the best; in the order of their places."""
+    kept: list = []
+    for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[0])):
+        at = bisect_right(kept, x[:2])
+        if not (at and kept[at - 1][1] > x[0] or at < len(kept) and kept[at][0] < x[1]):
+            kept.insert(at, x)
+    return kept
 
 
-def scan_text(text: bytes | None) -> tuple:
+def scan_text(text: bytes | None, search: Search) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans (start:end word:label:edits)."""
     words = text.translate(_WORDS).split() if text else []
     if not words:
         return 0, 0, None, None, "", "", 0.0, ""
-    if not _SEARCH:
-        _SEARCH.append(_Search())
     joined = b" " + b" ".join(words) + b" "
-    starts, base = [], set()
+    n_base, first, last, base = 0, None, None, set()
     for phrase, label in PHRASES.items():
         key = f" {phrase} ".encode()
+        seen = blanks = 0  # blanks before ``seen``
         at = joined.find(key)
         while at >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            blanks += joined.count(b" ", seen, at)
+            seen = at
+            n_base, first, last = n_base + 1, min(blanks, blanks if first is None else first), max(blanks, last or 0)
             base.add(label)
             at = joined.find(key, at + 1)
     plain = joined.decode("utf-8", "replace")
-    found = _SEARCH[0].fuzzy(plain)
+    found = _least_edited(search.fuzzy(plain))
     spans = []
     if found:
         blanks = [i for i, c in enumerate(plain) if c == " "]
         spans = [f"{max(bisect_right(blanks, a), 1) - 1}:{bisect_right(blanks, max(b - 1, a))}:{label}:{e}" for a, b, label, e, _ in found]
-    score = 1.0 if starts else max((1 - e / n for _, _, _, e, n in found), default=0.0)
+    score = 1.0 if n_base else max((1 - e / n for _, _, _, e, n in found), default=0.0)
     labels = base | {x[2] for x in found}
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, ",".join(spans)
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, ",".join(spans)
 
 
 _COLUMNS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.string()}
 
 
-def _scan(batches):
-    for batch in batches:
-        if batch.num_rows:
-            ids, texts = id_text(batch)
-            rows = zip(*map(scan_text, texts), strict=True)
-            columns = [pa.array(c, t) for c, t in zip(rows, _COLUMNS.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", *_COLUMNS])
+_SEARCHES: dict[tuple, Search] = {}
+
+
+def _search_of(notices: dict[str, str] | None) -> Search:
+    """Made once a worker and table."""
+    key = tuple(NOTICES.items()) if notices is None else tuple(notices.items())
+    if key not in _SEARCHES:
+        _SEARCHES.clear()
+        _SEARCHES[key] = Search(notices)
+    return _SEARCHES[key]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: DataFrame | dict[str, str] | None = None) -> DataFrame:
+    """A row for each document: words, places of the phrases, labels, score and fuzzy spans.
+
+    ``notices``: labels by notice, or a table (notice, label) of MAX_NOTICES rows at most; nulls in it are ignored,
+    of repeated notices the first by label counts.
+    """
+    if isinstance(notices, DataFrame):
+        rows = notices.where("notice IS NOT NULL AND label IS NOT NULL").groupBy("notice").agg(F.min("label").alias("label")).orderBy("notice").limit(MAX_NOTICES + 1).collect()
+        if len(rows) > MAX_NOTICES:
+            raise ValueError(f"more than {MAX_NOTICES} notices")
+        notices = {r.notice: r.label for r in rows}
 
+    def run(batches):
+        search = _search_of(notices)
+        for batch in batches:
+            for ids, texts in text_pieces(batch):
+                rows = zip(*(scan_text(t, search) for t in texts), strict=True)
+                columns = [pa.array(c, t) for c, t in zip(rows, _COLUMNS.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", *_COLUMNS])
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: words, places of the phrases, labels, score and fuzzy spans."""
     schema = "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan, schema)
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -1,9 +1,9 @@
 """PII by anchor expansion.
 
-One Aho-Corasick pass over each text finds the anchors: at-signs, plus signs, URL schemes and identifier cues.
-Local parsers expand each anchor to its boundaries and validate what they find: mail addresses around at-signs,
-phone numbers from plus signs, addresses behind schemes, account numbers behind cues. Runs of digits anchor
-network addresses and card numbers, which have no fixed character to look for.
+One Aho-Corasick pass over each text (A-Z lowered) finds the anchors: at-signs, plus signs, digits, URL schemes
+and identifier cues. Local parsers expand each anchor to its boundaries and validate what they find: mail
+addresses around at-signs, phone numbers from plus signs, network addresses and card numbers from the first
+digit of a run, addresses behind schemes, account numbers behind cues.
 
 Kinds of the base contract: email, ip, card, phone. Kinds that the method adds: url (with a user part or an
 address as host), account (a cue followed by an identifier with a digit).
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import str_pieces
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 CUES = ("account", "acct", "iban", "passport", "ssn", "user id", "userid", "customer id", "member id", "tax id", "driver license")
@@ -40,16 +42,25 @@ def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", "@")
     a.add_word("+", "+")
+    for digit in "0123456789":
+        a.add_word(digit, "0")
     for scheme in ("http", "https", "ftp", "ssh"):
-        for s in (scheme, scheme.upper()):
-            a.add_word(f"{s}://", ("scheme", len(scheme)))
+        a.add_word(f"{scheme}://", ("scheme", len(scheme)))
     for cue in CUES:
-        for c in {cue, cue.capitalize(), cue.upper(), cue.title()}:
-            a.add_word(c, ("cue", len(c)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """A-Z lowered, or all letters where that keeps every place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 _ANCHORS: list[ahocorasick.Automaton] = []
 
 
@@ -72,9 +83,22 @@ def find_pii(text: str) -> list[tuple[int, int, int]]:
     if not _ANCHORS:
         _ANCHORS.append(_automaton())
     found = []
-    after = {"@": 0, "+": 0}  # where the last match of the kind ends
-    for end, value in _ANCHORS[0].iter(text):
-        if value == "@":
+    after = {"@": 0, "+": 0, "ip": 0, "card": 0}  # where the last match of the kind ends
+    before = -2  # the digit before
+    for end, value in _ANCHORS[0].iter(_lower(text)):
+        if value == "0":
+            first, before = end > before + 1, end
+            # a match starts with a run of digits, whole or what the match before left of it
+            if (first or end == after["ip"]) and end >= after["ip"] and (m := _IP.match(text, end)):
+                after["ip"] = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                    found.append((1, end, m.end()))
+            if first and end >= after["card"] and (m := _CARD.match(text, end)):
+                after["card"] = m.end()
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 16 <= len(digits) <= 19 and luhn(digits):
+                    found.append((2, end, m.end()))
+        elif value == "@":
             a, floor = end, after["@"]
             while a > floor and text[a - 1] in _LOCAL:
                 a -= 1
@@ -95,14 +119,6 @@ def find_pii(text: str) -> list[tuple[int, int, int]]:
             m = _ACCOUNT.match(text, end + 1)
             if m and (body := m[1].replace(" ", "").replace("-", "")) and 6 <= len(body) <= 34 and _DIGIT.search(body) and not (a and text[a - 1].isalnum()) and _alone(text, m.start(1), m.end(1)):
                 found.append((5, m.start(1), m.end(1)))
-    if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-                found.append((1, m.start(), m.end()))
-        for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 16 <= len(digits) <= 19 and luhn(digits):
-                found.append((2, m.start(), m.end()))
     # the tail of an anchor may be the head of another ("https" holds "http"): equal spans count once
     return sorted(set(found))
 
@@ -111,41 +127,42 @@ def digest_row(text: str | None) -> tuple:
     found = find_pii(text) if text else []
     base = [s for s in found if s[0] < len(BASE_KINDS)]
     join = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
-    return (*(sum(k == i for k, _, _ in base) for i in range(len(BASE_KINDS))), hashlib.sha256(join(base).encode()).hexdigest(), join(found))
+    return (*(sum(k == i for k, _, _ in base) for i in range(len(BASE_KINDS))), hashlib.sha256(join(base).encode()).hexdigest(), join(found), bool(found))
 
 
 COUNTS = tuple(f"n_{k}" for k in BASE_KINDS)
+_TYPES = {**dict.fromkeys(COUNTS, pa.int64()), "base_sha256": pa.string(), "spans": pa.string(), "has_pii": pa.bool_()}
 
 
 def _digests(batches):
-    names = [*COUNTS, "base_sha256", "spans"]
     for batch in batches:
-        if batch.num_rows:
-            rows = zip(*map(digest_row, batch.column(1).to_pylist()), strict=True)
-            columns = [pa.array(c, pa.int64() if n in COUNTS else pa.string()) for n, c in zip(names, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+        for ids, texts in str_pieces(batch):
+            rows = zip(*map(digest_row, texts), strict=True)
+            columns = [pa.array(c, t) for c, t in zip(rows, _TYPES.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", *_TYPES])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: counts of the base kinds, their digest, and all spans."""
-    schema = f"id long, {', '.join(f'{c} long' for c in COUNTS)}, base_sha256 string, spans string"
+    """A row for each document: counts of the base kinds, their digest, all spans, and whether there is any."""
+    schema = f"id long, {', '.join(f'{c} long' for c in COUNTS)}, base_sha256 string, spans string, has_pii boolean"
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_digests, schema)
     return out.withColumnRenamed("id", id_col)
 
 
 def _redact(batches):
     for batch in batches:
-        out = []
-        for text in batch.column(1).to_pylist():
-            if text:
-                at, parts = 0, []
-                for a, b, k in sorted((a, b, k) for k, a, b in find_pii(text)):
-                    if a >= at:
-                        parts += [text[at:a], f"<{KINDS[k].upper()}>"]
-                        at = b
-                text = "".join(parts) + text[at:]
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
+        for ids, texts in str_pieces(batch):
+            out = []
+            for text in texts:
+                if text:
+                    at, parts = 0, []
+                    for a, b, k in sorted((a, b, k) for k, a, b in find_pii(text)):
+                        if a >= at:
+                            parts += [text[at:a], f"<{KINDS[k].upper()}>"]
+                            at = b
+                    text = "".join(parts) + text[at:]
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,6 +81,22 @@ def test_pii(corpus):
         assert (got[i].base_sha256, [got[i][f"n_{k}"] for k in pii.BASE_KINDS]) == (digest(want), [sum(s[0] == k for s in want) for k in pii.BASE_KINDS]), t
 
 
+def test_pii_anchors_of_any_case():
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.find_pii(t)]
+    assert found("AcCoUnT No: 12AB-3456") == [("account", "12AB-3456")] and found("HtTp://10.0.0.1/a")[-1] == ("url", "HtTp://10.0.0.1/a")
+    # a letter that grows when it is lowered moves no place
+    assert found("\u0130 ACCOUNT 12AB-3456 a@b.co") == [("email", "a@b.co"), ("account", "12AB-3456")]
+    assert found("1.2.3.41.2.3.4 1.2.3.4") == [("ip", "1.2.3.41"), ("ip", "1.2.3.4")]
+
+
+def test_pii_digits_against_plain_scanner():
+    rng = random.Random(13)
+    for _ in range(3000):
+        t = "".join(rng.choice("0123456789 .-+()11..  ") for _ in range(rng.randrange(60)))
+        want = [(k, a, b) for k, a, b in plain_pii(t) if k in ("ip", "card")]
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.find_pii(t) if k in (1, 2)] == want, t
+
+
 def test_pii_methods_own_spans(make):
     r = {r.doc_id: r.spans for r in pii.scan(make([(1, "see https://u:p@h.example/x now"), (2, "account no: 12AB-3456 it is")])).collect()}
     assert "url:4:27" in r[1] and r[2] == "account:12:21"
@@ -102,9 +118,32 @@ def test_fuzzy_notices_keep_their_edits(make):
     assert got[2].labels == "mit" and got[3].labels == ""
 
 
+def test_license_notices_from_a_table(make, spark):
+    docs = make([(1, "sold under the Wobble Weasel licence, v2"), (2, "wobble weasle licence"), (3, None), (4, "mozilla public license")])
+    table = spark.createDataFrame([("Wobble-Weasel licence", "wobble"), (None, "x"), ("y", None), ("...", "z")], "notice string, label string")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs, notices=table).collect()} == {1: "wobble", 2: "wobble", 3: "", 4: ""}
+    assert {r.labels for r in licenses.scan(docs, notices={}).collect()} == {""}
+    assert len(licenses.NOTICES) > 100 and {r.doc_id: r.labels for r in licenses.scan(docs).collect()}[4] == "mpl"
+
+
+def test_every_notice_is_found_as_it_stands():
+    search = licenses.Search()
+    for notice, label in licenses.NOTICES.items():
+        got = licenses.scan_text(f"some words {notice} and more".encode(), search)
+        assert label in got[5].split(","), (notice, got)
+
+
+def test_licenses_of_a_long_text_full_of_hits():
+    import time
+
+    start = time.perf_counter()
+    got = licenses.scan_text(b"apache license " * 100_000, licenses.Search({}))
+    assert got[:4] == (200_000, 100_000, 0, 199_998) and time.perf_counter() - start < 5
+
+
 def test_fuzzy_search_misses_no_notice_within_its_edits():
     rng = random.Random(6)
-    search = licenses._Search()
+    search = licenses.Search()
     for _ in range(150):
         notice = rng.choice(list(licenses.NOTICES))
         e = licenses.edits(notice)
