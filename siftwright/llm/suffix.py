@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, hash_words, lower_words, mix64, semi_ids, text_chunks, text_pieces
+from .common import BASE, cut, hash_words, lower_words, mix64, semi_ids, text_pieces
 
 PASSAGE = 50
 SEED = 25
@@ -105,27 +105,27 @@ def _suffixes(passage: int, seed: int):
         return pa.RecordBatch.from_arrays([pa.array(i), pa.array(at), pa.array(n), _rows_of_bytes(right), _rows_of_bytes(left)], names=["id", "at", "words", "right", "left"])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             ids, follow, out, size = batch.column(0).to_pylist(), batch.column(2), [], 0
-            for rows, texts in text_chunks(list(range(batch.num_rows)), batch.column(1).cast(pa.binary()).to_pylist()):
-                for r, t in zip(rows, texts, strict=True):
-                    h = hash_words(lower_words(t))
-                    if len(h) < passage:
-                        continue
-                    at, seeds = _kept(h, passage, seed)
-                    good = np.isin(seeds, follow[r].values.to_numpy().view(np.uint64))
-                    at, seeds = at[good], seeds[good]
-                    near = np.pad((h >> np.uint64(32)).astype(np.uint32), reach)
-                    near = sliding_window_view(near, reach)
-                    # in parts: a very long text repeats much
-                    for a in range(0, len(at), 5000):
-                        p, s = at[a : a + 5000], seeds[a : a + 5000]
-                        right = np.column_stack([s.view(np.uint32).reshape(-1, 2), near[p + reach + seed]])
-                        out.append((np.full(len(p), ids[r], np.int64), p.astype(np.int32), np.full(len(p), len(h), np.int32), right, near[p]))
-                        size += len(p)
-                        if size >= 5000:
-                            yield flush(out)
-                            out, size = [], 0
+            for r in range(batch.num_rows):
+                t = batch.column(1)[r].as_py()
+                h = hash_words(lower_words(t and t.encode()))
+                if len(h) < passage:
+                    continue
+                at, seeds = _kept(h, passage, seed)
+                good = np.isin(seeds, follow[r].values.to_numpy().view(np.uint64))
+                at, seeds = at[good], seeds[good]
+                near = np.pad((h >> np.uint64(32)).astype(np.uint32), reach)
+                near = sliding_window_view(near, reach)
+                # in parts: a very long text repeats much
+                for a in range(0, len(at), 5000):
+                    p, s = at[a : a + 5000], seeds[a : a + 5000]
+                    right = np.column_stack([s.view(np.uint32).reshape(-1, 2), near[p + reach + seed]])
+                    out.append((np.full(len(p), ids[r], np.int64), p.astype(np.int32), np.full(len(p), len(h), np.int32), right, near[p]))
+                    size += len(p)
+                    if size >= 5000:
+                        yield flush(out)
+                        out, size = [], 0
             if out:
                 yield flush(out)
 
