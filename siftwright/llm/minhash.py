@@ -12,8 +12,9 @@ are verified on the sets themselves. No pair is made for a bucket whose members
 their size and not its square.
 
 Defined results. Null or blank text: an empty set, linked with nothing, its own component. A null id: links
-nothing, component null, kept. Repeated rows: each gives a row; links are between ids. Columns beside the id
-and text columns are ignored. An empty table gives an empty result.
+nothing, component null, kept. Repeated rows: each gives a row; links are between ids. An id with several texts
+is linked where any of them is similar. Columns beside the id and text columns are ignored. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -241,7 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # cut before the join: both its sides are then shuffles of their own, which Spark can split where a bucket is hot
     members = cut(placed.join(cut(shared, "minhash-shared"), ["band", "key"]), "minhash-members")
     wanted = cut(members.select("id").distinct(), "minhash-wanted")
-    full = cut(semi_ids(source, "id", wanted, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary, bits binary"), "minhash-sets")
+    # an id may have several texts: a pair is verified on each
+    texts = semi_ids(source, "id", wanted, "id").withColumn("version", F.xxhash64("text")).dropDuplicates(["id", "version"]).select("id", "text")
+    full = cut(texts.mapInArrow(_sets(k), "id long, shingles binary, bits binary"), "minhash-sets")
     small = cut(semi_ids(reps.select("id", "n", "bands", "sig"), "id", wanted, "id"), "minhash-small")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -273,8 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(count / size)))
         return salted.groupBy("band", "key", "salt").agg(F.collect_list(entry).alias(name)).drop("salt")
 
-    stragglers = packed(open_.where("label <> main"), F.col("all") - F.col("most"), PACK, "stragglers")
-    met = packed(open_, F.col("all"), 2 * PACK, "members").join(stragglers, ["band", "key"]).select("band", "members", "stragglers")
+    # both cut before they are joined: a hot bucket's packs are then dealt over many tasks
+    stragglers = cut(packed(open_.where("label <> main"), F.col("all") - F.col("most"), PACK, "stragglers"), "minhash-stragglers")
+    met = cut(packed(open_, F.col("all"), 2 * PACK, "members"), "minhash-packs").join(stragglers, ["band", "key"]).select("band", "members", "stragglers")
     likely = cut(met.mapInArrow(_cross(percent, 100, least), "a long, b long"), "minhash-cross")
     # cut first: no task then runs two Python workers, one behind the other
     comp = components(cut(links.union(verified(likely)), "minhash-links"))

@@ -19,7 +19,8 @@ is within CLOSE of its target, or no step lowers the sum by GAIN: the targets ar
 warns with the totals achieved.
 
 Defined results. Null or blank text: no tokens, the posterior of an empty document. Null ids get rates too.
-Repeated rows are documents of their own. Without labelled rows every posterior is the prior of even chances.
+Repeated rows are documents of their own. A domain without labelled rows has the odds of half a row against
+the clean ones; without any labelled rows every posterior is even.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -188,11 +189,13 @@ def platt(odds: np.ndarray, yes: np.ndarray) -> tuple[float, float, float]:
 class Bayes:
     """A calibrated classifier: evidence for each domain but clean, with slope and start of its log-odds."""
 
-    def __init__(self):
+    def __init__(self, n: np.ndarray):
+        """n: labelled documents of each domain. What has no evidence keeps its odds by these counts."""
+        self.prior = np.log((n + 0.5) / (n[0] + 0.5))
         self.parts: list[tuple[int, Evidence, float, float]] = []
 
     def posterior(self, buckets: np.ndarray) -> np.ndarray:
-        odds = np.zeros(len(DOMAINS))
+        odds = self.prior.copy()
         for d, evidence, slope, start in self.parts:
             odds[d] = slope * evidence(buckets) + start
         p = np.exp(np.clip(odds - odds.max(), -50, 0))
@@ -213,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: in
     for r in sample.mapInArrow(_count, "domain int, fold int, bucket int, n long").groupBy("domain", "fold", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.domain, r.fold, r.bucket] = r.n
     every = counts.sum(1)
-    model = Bayes()
+    model = Bayes(every[:, SIZE].astype(float))
     found = [d for d in range(1, len(DOMAINS)) if every[d, SIZE] and every[0, SIZE]]
     if not found:
         return model
@@ -285,9 +288,13 @@ class Plan:
 
 
 def solve(p: DataFrame, targets: dict[str, float]) -> Plan:
-    """Projected gradient over the posteriors ``p``, until the targets are met or no step lowers the error."""
+    """Projected gradient over the posteriors ``p``, until the targets are met or no step lowers the error.
+
+    Targets are shares of all tokens; a domain without one may come out at any total.
+    """
     n_domains = len(DOMAINS)
-    whole = sum(targets.get(d, 0.0) for d in DOMAINS)
+    named = np.array([d in targets for d in DOMAINS])
+    whole = sum(targets[d] for d in DOMAINS if d in targets)
     wanted = np.array([targets.get(d, 0.0) / whole for d in DOMAINS])
     pairs = [(i, j) for i in range(n_domains) for j in range(i, n_domains)]
 
@@ -304,19 +311,20 @@ def solve(p: DataFrame, targets: dict[str, float]) -> Plan:
             gram[i, j] = gram[j, i] = v / n
         return np.array(row[1 : 1 + n_domains]) / n, gram
 
-    cost = lambda share: float((weight * (share - wanted) ** 2).sum())
-    met = lambda share: bool((np.abs(share - wanted) <= CLOSE * wanted).all())
+    cost = lambda share: float((weight * (share - wanted) ** 2)[named].sum())
+    met = lambda share: bool((np.abs(share - wanted) <= CLOSE * np.maximum(wanted, 1e-6))[named].all())
     steps: list[list[float]] = []
     share, gram = totals(steps)
     if share is None:
-        return Plan([], dict.fromkeys(DOMAINS, 0.0), dict(zip(DOMAINS, wanted.tolist(), strict=True)), True)
+        return Plan([], dict.fromkeys(DOMAINS, 0.0), {d: w for d, w, given in zip(DOMAINS, wanted.tolist(), named, strict=True) if given}, True)
     weight = 1 / np.maximum(share, 1e-6)
     damping = 0.0
     while not met(share):
         better = False
         while not better and damping <= MOST_DAMPING:
             # undamped: what would meet the targets if no rate met a bound; damped: nearer to the plain gradient, and shorter
-            g = np.linalg.solve(gram + damping * np.diag(1 / weight) + 1e-12 * np.eye(n_domains), share - wanted)
+            g = np.zeros(n_domains)
+            g[named] = np.linalg.solve((gram + damping * np.diag(1 / weight) + 1e-12 * np.eye(n_domains))[named][:, named], (share - wanted)[named])
             # twelve digits: the order in which tasks are summed doesn't show
             step = [float(f"{x:.12g}") for x in g]
             new, new_gram = totals([*steps, step])
@@ -326,8 +334,7 @@ def solve(p: DataFrame, targets: dict[str, float]) -> Plan:
             break
         steps.append(step)
         share, gram = new, new_gram
-    named = lambda x: dict(zip(DOMAINS, x.tolist(), strict=True))
-    return Plan(steps, named(share), named(wanted), met(share))
+    return Plan(steps, dict(zip(DOMAINS, share.tolist(), strict=True)), {d: w for d, w, given in zip(DOMAINS, wanted.tolist(), named, strict=True) if given}, met(share))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,8 @@ variance times the identity (RIDGE). The score is the logistic of the difference
 each a Mahalanobis distance through a Cholesky factor that is inverted once and kept, plus the log of the
 class odds.
 
-The moments are sums over all labelled rows, made on the executors; the driver gets one number per class and
-pair of features.
+The moments are exact sums over all labelled rows, made on the executors; the driver gets one number per class
+and pair of features.
 
 Defined results. Null or blank text: the statistics of an empty document, scored like any other. A null id:
 scored, held_out null. A repeated row gives a row each. Several labels for one id: the smallest counts. A null label isn't learnt
@@ -16,6 +16,7 @@ id and text columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from operator import eq
 
 import numpy as np
@@ -29,6 +30,8 @@ FEATURES = ("words", "word_len", "upper", "symbols", "digits", "stops", "marks",
 POOL = 0.1
 RIDGE = 0.05
 THRESHOLD = 0.7
+#: Statistics enter the moments in steps of 1 / SCALE.
+SCALE = 1 << 16
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>~^=_{}[]\\/@+")] = True
@@ -46,7 +49,7 @@ def statistics(text: bytes | None) -> list[float]:
     letters = upper + count[97:123].sum() + count[0xC0:].sum()
     share = count[count > 0] / chars
     lines = [x for x in text.split(b"\n") if x.strip()]
-    solid = max(chars - count[9:14].sum() - count[32], 0.0)
+    solid = count.sum() - count[9:14].sum() - count[32]
     return [
         np.log1p(n),
         np.log1p(solid / max(n, 1)),
@@ -76,17 +79,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _moments(batches):
+    """Sums of products by class in whole numbers of SCALE**-2: exact, so their order doesn't show."""
     d = len(FEATURES)
     i, j = np.triu_indices(d + 1)
-    total = np.zeros((2, len(i)))
+    total = np.zeros((2, len(i)), object)
     for batch in batches:
         if batch.num_rows:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            x = np.column_stack([np.ones(len(x)), x])
+            x = np.rint(np.column_stack([np.ones(len(x)), x]) * SCALE).astype(np.int64)
             for c in (0, 1):
-                total[c] += (x[y == c].T @ x[y == c])[i, j]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], len(i)).astype(np.int32)), pa.array(np.tile(np.arange(len(i)), 2).astype(np.int32)), pa.array(total.ravel())], names=["y", "at", "v"])
+                total[c] += (x[y == c].T @ x[y == c])[i, j].astype(object)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], len(i)).astype(np.int32)), pa.array(np.tile(np.arange(len(i)), 2).astype(np.int32)), pa.array([Decimal(int(v)) for v in total.ravel()], pa.decimal128(38, 0))], names=["y", "at", "v"])
 
 
 class Qda:
@@ -130,11 +134,11 @@ class Qda:
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Qda:
     """Fit on the rows of ``stats`` (id, x) that ``labels`` marks and whose crc32(id) mod 4 is not 2."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1) AND crc32(cast(id AS string)) % 4 <> 2").groupBy("id").agg(F.min("y").alias("y"))
-    sums = stats.join(known, "id").select("y", "x").mapInArrow(_moments, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v"))
+    sums = stats.join(known, "id").select("y", "x").mapInArrow(_moments, "y int, at int, v decimal(38,0)").groupBy("y", "at").agg(F.sum("v").alias("v"))
     d = len(FEATURES) + 1
     moments = np.zeros((2, d * (d + 1) // 2))
     for r in sums.collect():
-        moments[r.y, r["at"]] = r.v
+        moments[r.y, r["at"]] = float(r.v) / SCALE**2
     return Qda(moments)
 
 
