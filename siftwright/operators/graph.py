@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Steps of a loop between two tables that end its lineage.
+STRIDE = 4
+
 _own: list[str] = []
+_made: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a loop: written under spark.checkpoint.dir (shared by all executors) and read back."""
+    """End the lineage of a loop: written under spark.checkpoint.dir (shared by all executors) and read back.
+
+    Only in local mode may that setting be absent; a temporary folder is used then.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="siftwright-graph-"))
         base = _own[0]
     path = f"{base.rstrip('/')}/siftwright/graph-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables of all loops of this process. Call it once the results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, tolerance: float | None = 1e-4) -> DataFrame:
     """(id, rank), the best rank being 1. nodes(id), edges(src, dst), parallel edges counting separately.
 
@@ -39,10 +58,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     n = ids.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(1.0))
-    ranks = cut(ids.withColumn("rank", F.lit(1.0 / n)))
-    for _ in range(iterations):
-        got = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        step = ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+    ranks, done = ids.withColumn("rank", F.lit(1.0 / n)), 0
+    while done < iterations:
+        # several steps in one plan; how far the last of them moved is read off the table that they end in
+        for _ in range(min(STRIDE, iterations - done)):
+            got = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
+            step = ranks.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+            ranks, done = step.select("id", "rank"), done + 1
         step = cut(step)
         ranks = step.select("id", "rank")
         if tolerance is not None and step.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
@@ -52,17 +74,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
 
 
 def label_propagation(edges: DataFrame, iterations: int = 20) -> DataFrame:
-    """(id, label) by synchronous weighted votes; ties go to the smaller label, a node's own label has a small vote."""
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).where("src <> dst")
+    """(id, label) by weighted votes of the neighbours, until no node would change its label.
+
+    A node keeps its label where no other has more votes, else takes the strongest, of equals the smallest. As
+    neighbours that change together would swap labels for ever, only about half of the nodes may move in a
+    step, by a hash of node and step: what settles is what updates in place, one node after the other, leave
+    as it is. ``iterations`` counts moves of every node, so there are twice as many steps at most.
+    """
+    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).where("src <> dst AND weight > 0")
     both = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(iterations):
-        votes = both.join(labels, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "label", "weight")
-        votes = votes.union(labels.select("id", "label", F.lit(1e-3))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
-        new = votes.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
-        step = cut(new.join(labels, "id").select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")))
+    for turn in range(2 * iterations):
+        votes = both.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id"), F.col("label").alias("vote")).agg(F.round(F.sum("weight"), 9).alias("w"))
+        voted = votes.join(labels, "id").groupBy("id").agg(F.first("label").alias("old"), F.max_by("vote", F.struct("w", (F.col("vote") == F.col("label")).alias("own"), -F.col("vote"))).alias("best"))
+        may = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn)))) % 2 == 0
+        step = cut(voted.select("id", F.when(may, F.col("best")).otherwise(F.col("old")).alias("label"), (F.col("best") != F.col("old")).alias("restless")))
         labels = step.select("id", "label")
-        if step.where("moved").isEmpty():
+        if step.where("restless").isEmpty():
             break
     return labels
 
@@ -84,8 +112,6 @@ def clusters(nodes: DataFrame, edges: DataFrame, iterations: int = 20, least: in
     final = labels.join(moves, F.col("label") == F.col("small"), "left").select("id", F.coalesce("large", "label").alias("label"))
     ranked = final.join(nodes.select("id", "rank"), "id", "left")
     sums = ranked.groupBy("label").agg(F.count("*").alias("size"), F.sum("rank").alias("total"), F.max_by("id", F.struct("rank", -F.col("id"))).alias("hub"))
-    from pyspark.sql import Window
-
     numbered = sums.withColumn("cluster", F.row_number().over(Window.orderBy(F.col("total").desc(), "label")))
     return final.join(numbered, "label").select("id", "cluster", "size", "total", "hub")
 
@@ -118,11 +144,14 @@ def boundary(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def _spread(links: DataFrame, start: DataFrame) -> DataFrame:
-    """Least label that reaches each node: start(id, label), links(a -> b)."""
+    """Least label that reaches each node: start(id, label), links(a -> b). Null stands for no label yet."""
     now = start
     while True:
-        got = links.join(now, F.col("a") == F.col("id")).groupBy("b").agg(F.min("label").alias("via"))
-        step = cut(now.join(got, F.col("id") == F.col("b"), "left").select("id", F.least("label", F.coalesce("via", "label")).alias("label"), (F.col("via") < F.col("label")).alias("moved")))
+        old = now.withColumnRenamed("label", "first")
+        for _ in range(STRIDE):
+            got = links.join(now.where("label IS NOT NULL"), F.col("a") == F.col("id")).groupBy("b").agg(F.min("label").alias("via"))
+            now = now.join(got, F.col("id") == F.col("b"), "left").select("id", F.least("label", "via").alias("label"))
+        step = cut(now.join(old, "id").select("id", "label", (~F.col("label").eqNullSafe(F.col("first"))).alias("moved")))
         now = step.select("id", "label")
         if step.where("moved").isEmpty():
             return now
@@ -152,11 +181,10 @@ def scc(edges: DataFrame, least: int = 2) -> DataFrame:
         same = left.join(colour.select(F.col("id").alias("src"), F.col("label").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("cd")), "dst").where("cs = cd")
         back = same.select(F.col("dst").alias("a"), F.col("src").alias("b"))
         # a node gets its own colour back only if it reaches the root
-        big = F.lit((1 << 62) + 1)
-        mark = _spread(back, colour.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).otherwise(big).alias("label")))
-        part = cut(mark.where(F.col("label") < big).select("id", F.col("label").alias("component")))
+        mark = _spread(back, colour.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label")))
+        part = cut(mark.where("label IS NOT NULL").select("id", F.col("label").alias("component")))
         found = part if found is None else found.union(part)
-        left = left.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = cut(left.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti"))
     if found is None:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
     size = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
@@ -185,21 +213,45 @@ def apply_edits(edges: DataFrame, edited: DataFrame, new_edges: DataFrame) -> Da
     return kept.unionByName(new_edges.select("src", "dst")).distinct()
 
 
-def layers(edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """(id, level): length of the longest path into each node; nodes on or behind a cycle get no level (-1)."""
+def cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, cycle): a shortest cycle through the least member of each component, as an array from that member on.
+
+    components(id, component) by ``scc``. Paths grow by a hop at a time within a component, one a node: the
+    one over the smallest nodes. Ends once every component has its cycle.
+    """
+    inner = edges.select("src", "dst").where("src <> dst").distinct()
+    inner = inner.join(components.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst").where("c = d")
+    inner = cut(inner.select("c", "src", "dst"))
+    root = components.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("root"))
+    front = cut(root.select("c", "root", F.col("root").alias("node"), F.array("root").alias("path")))
+    seen, done = front.select("c", "node"), None
+    while not front.isEmpty():
+        grown = cut(front.join(inner.withColumnRenamed("src", "node"), ["c", "node"]).select("c", "root", F.col("dst").alias("node"), "path"))
+        closed = cut(grown.where("node = root").groupBy("c").agg(F.min("path").alias("cycle")))
+        done = closed if done is None else done.union(closed)
+        open_ = grown.where("node <> root").join(done.select("c"), "c", "left_anti").join(seen, ["c", "node"], "left_anti")
+        front = cut(open_.groupBy("c", "root", "node").agg(F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("node"))))
+        seen = seen.union(front.select("c", "node"))
+    empty = components.select(F.col("component").alias("c"), F.array("id").alias("cycle")).limit(0)
+    return (empty if done is None else done).select(F.col("c").alias("component"), "cycle")
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(id, level): length of the longest path into each node; nodes on or behind a cycle get no level (-1).
+
+    Nodes without edges into them leave level by level, so there are as many steps as levels.
+    """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     left = cut(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
-    done = None
-    level = 0
-    while level < limit:
-        now = cut(left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+    done, level = None, 0
+    while True:
+        split = cut(left.join(e.select(F.col("dst").alias("id")).distinct().withColumn("held", F.lit(True)), "id", "left"))
+        now, left = split.where("held IS NULL").select("id"), split.where("held").select("id")
         if now.isEmpty():
             break
         part = now.withColumn("level", F.lit(level))
         done = part if done is None else done.union(part)
-        left = left.join(now, "id", "left_anti")
         e = cut(e.join(now.withColumnRenamed("id", "src"), "src", "left_anti"))
-        left = cut(left)
         level += 1
     rest = left.withColumn("level", F.lit(-1))
     return rest if done is None else done.union(rest)

@@ -28,29 +28,38 @@ def test_two_triangles_are_two_clusters(spark):
     assert got[4] == (1, 3, 6) and got[1] == (2, 3, 3)
 
 
-def test_label_propagation_matches_a_plain_loop(spark):
-    import random
+def propagate(spark, pairs):
+    return {r.id: r.label for r in graph.label_propagation(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")).collect()}
 
-    rng = random.Random(3)
-    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(60)) if a != b})
-    got = {r.id: r.label for r in graph.label_propagation(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")).collect()}
+
+def settled(pairs, labels):
+    """Whether updates in place, one node after the other, leave all labels as they are."""
     near: dict = {}
     for a, b in pairs:
         for x, y in ((a, b), (b, a)):
-            near.setdefault(x, {}).setdefault(y, 0.0)
-            near[x][y] += 1.0
-    labels = {i: i for i in near}
-    for _ in range(20):
-        new = {}
-        for i in near:
-            votes = {labels[i]: 1e-3}
-            for j, w in near[i].items():
-                votes[labels[j]] = votes.get(labels[j], 0.0) + w
-            new[i] = min(votes, key=lambda x: (-round(votes[x], 9), x))
-        if new == labels:
-            break
-        labels = new
-    assert got == labels
+            near.setdefault(x, []).append(y)
+    for i, others in near.items():
+        votes: dict = {}
+        for j in others:
+            votes[labels[j]] = votes.get(labels[j], 0) + 1
+        if votes.get(labels[i], 0) < max(votes.values()):
+            return False
+    return set(near) == set(labels)
+
+
+def test_label_propagation_settles(spark):
+    """Graphs whose nodes would swap labels for ever if all moved at once: an edge, a star, both sides of K(3,3)."""
+    for pairs in ([(1, 2)], [(0, i) for i in range(1, 8)], [(a, b) for a in (1, 2, 3) for b in (4, 5, 6)]):
+        got = propagate(spark, pairs)
+        assert len(set(got.values())) == 1 and settled(pairs, got)
+
+
+def test_label_propagation_is_what_updates_in_place_leave(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = sorted({(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(60)) if a < b})
+    assert settled(pairs, propagate(spark, pairs))
 
 
 def test_scc(spark):
@@ -60,6 +69,20 @@ def test_scc(spark):
     assert run([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4)]) == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_scc_of_ids_over_all_of_long(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    run = lambda e: {(r.id, r.component) for r in graph.scc(spark.createDataFrame(e, "src long, dst long")).collect()}
+    assert run([((1 << 62) + 5, (1 << 62) + 9), ((1 << 62) + 9, (1 << 62) + 5)]) == {((1 << 62) + 5, (1 << 62) + 5), ((1 << 62) + 9, (1 << 62) + 5)}
+    assert run([(top, low), (low, top), (top - 1, top), (0, top - 1)]) == {(low, low), (top, low)}
+
+
+def test_cycles_are_shortest_and_start_at_the_least(spark):
+    e = spark.createDataFrame([(3, 1), (1, 2), (2, 3), (2, 9), (9, 3), (4, 5), (5, 4), (5, 6)], "src long, dst long")
+    got = {r.component: r.cycle for r in graph.cycles(e, graph.scc(e)).collect()}
+    assert got == {1: [1, 2, 3], 4: [4, 5]}
+    assert graph.cycles(e.limit(0), graph.scc(e.limit(0))).count() == 0
+
+
 def test_new_cycles_and_spikes(spark):
     comp = lambda rows: spark.createDataFrame(rows, "id long, component long")
     got = graph.new_cycles(comp([(1, 1), (2, 1)]), comp([(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)])).collect()
