@@ -82,10 +82,21 @@ def repo_map(chunks: DataFrame, files: DataFrame, file: str, score: str, rank: s
     return out.withColumn("order_score", 0.5 * F.col("chunk_score") + F.col(rank)).orderBy(F.col("order_score").desc(), file)
 
 
+#: Words of a question that every row is held against.
+MAX_WORDS = 10_000
+
+
 def path_specificity(files: DataFrame, path: str, words: DataFrame, limit: int = 12) -> DataFrame:
-    """Files by how a stem answers words(word, original): equal 110 or 40, prefix 100 or 20, contained 50 or 5."""
+    """Files by how a stem answers words(word, original): equal 110 or 40, prefix 100 or 20, contained 50 or 5.
+
+    The words of one question, MAX_WORDS at most: more raise an error.
+    """
     stem = F.lower(F.regexp_replace(base_name(F.col(path)), r"\.[A-Za-z0-9.]+\z", ""))
-    each = files.withColumn("stem", stem).join(F.broadcast(words.limit(1000)), F.contains(F.col("stem"), F.col("word")))
+    asked = [(r.word, r.original) for r in words.select("word", "original").distinct().limit(MAX_WORDS + 1).collect()]
+    if len(asked) > MAX_WORDS:
+        raise ValueError(f"a question of more than {MAX_WORDS} words")
+    table = files.sparkSession.createDataFrame(asked, "word string, original boolean")
+    each = files.withColumn("stem", stem).join(F.broadcast(table), F.contains(F.col("stem"), F.col("word")))
     own = F.col("original")
     value = F.when(F.col("stem") == F.col("word"), F.when(own, 110).otherwise(40)).when(F.startswith("stem", "word"), F.when(own, 100).otherwise(20)).otherwise(F.when(own, 50).otherwise(5))
     return each.groupBy(path).agg(F.max(value).alias("specificity"), F.count("*").alias("words")).orderBy(F.col("specificity").desc(), F.col("words").desc(), path).limit(limit)
@@ -248,6 +259,25 @@ def content_gates(drafts: DataFrame, text: str, earlier: DataFrame | None = None
     return rows.withColumn("failed", F.array_join(F.filter(F.array(*hits), lambda x: x.isNotNull()), ",")).drop("angle", "seen")
 
 
+def content_queue(drafts: DataFrame, approved: DataFrame, text: str, earlier: DataFrame | None = None) -> DataFrame:
+    """Drafts of approved briefs(id) with the gates that they fail; ``ready`` are those that fail none."""
+    rows = content_gates(drafts.join(approved.select("id"), "id", "left_semi"), text, earlier)
+    return rows.withColumn("ready", F.col("failed") == "")
+
+
+def fallback_symbol(chunks: DataFrame) -> DataFrame:
+    """One row: the first definition with a telling name in a production file, best ranked files first. chunks(path, name, type, start_line, rank)."""
+    good = chunks.where(symbol_name_ok(F.col("name")) & production(F.col("path")) & F.col("type").isin("function", "class", "method", "interface", "type"))
+    return good.orderBy(F.col("rank").desc(), "path", "start_line").limit(1)
+
+
+def repositories(registry: DataFrame, now: str) -> DataFrame:
+    """Registry(name, root, indexed_at) newest first, with days since and an age in words."""
+    days = F.datediff(F.lit(now).cast("date"), F.to_date("indexed_at"))
+    age = F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 30, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit(" months ago")))
+    return registry.withColumn("days", days).withColumn("age", age).orderBy(F.col("indexed_at").desc(), "name")
+
+
 def scout(items: DataFrame, score: Column, blockers: dict[str, Column]) -> DataFrame:
     """Items with score, blockers and status, best first and numbered."""
     found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in sorted(blockers.items()))), lambda x: x.isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.operators.ranking import top_per_group
@@ -16,18 +16,31 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "def
 SECURITY = (
     ("private_key", "critical", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("aws_access_key", "critical", "AKIA[0-9A-Z]{16}"),
-    ("api_token", "critical", "(gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})"),
+    ("api_token", "critical", "(gh[opsur]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|[ps]k_(live|test)_[A-Za-z0-9]{16,}|sk-(ant-)?[A-Za-z0-9_-]{32,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{16,}|SG\\.[A-Za-z0-9_-]{16,})"),
     ("hardcoded_secret", "high", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\s*[:=]\\s*[\"']?[A-Za-z0-9+/_.=-]{8,}"),
-    ("eval_call", "high", "(^|[^.A-Za-z0-9_])eval\\("),
+    ("command_injection", "critical", "(child_process|exec(Sync|File)?|spawn(Sync)?|system|popen)\\s*\\(\\s*(`[^`]*\\$\\{|f[\"'][^\"']*\\{|[\"'][^\"']*[\"']\\s*\\+)"),
+    ("path_traversal", "high", "(read|write|append|unlink|access|create(Read|Write))(File|Stream)?(Sync)?\\s*\\([^)]*(req|params|query|body|input)[.A-Za-z_]*\\s*[+}]"),
+    ("eval_call", "high", "(^|[^.A-Za-z0-9_])eval\\s*\\("),
+    ("new_function", "high", "new\\s+Function\\s*\\("),
+    ("timer_string", "medium", "set(Timeout|Interval)\\s*\\(\\s*[\"'`]"),
     ("shell_true", "high", "shell\\s*=\\s*True"),
+    ("sql_template", "high", "(query|execute|raw)\\s*\\(\\s*(f?[\"']|`).*\\$?\\{"),
     ("sql_concat", "medium", "(?i)(select|insert|update|delete)\\s.*[\"']\\s*\\+"),
     ("weak_hash", "medium", "(?i)(^|[^a-z0-9])(md5|sha1)\\("),
+    ("debugger", "low", "(^|[^A-Za-z0-9_])debugger\\s*;"),
     ("http_url", "low", "http://[a-z0-9.-]+"),
     ("email_address", "low", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}"),
 )
 
 #: Plain text that every match of a pattern holds: looked for first, as a byte search is far cheaper.
-HINTS = {"private_key": "PRIVATE KEY-----", "aws_access_key": "AKIA", "eval_call": "eval(", "shell_true": "shell", "http_url": "http://", "email_address": "@"}
+HINTS = {"private_key": "PRIVATE KEY-----", "aws_access_key": "AKIA", "eval_call": "eval", "new_function": "Function", "timer_string": "set", "shell_true": "shell", "debugger": "debugger", "http_url": "http://", "email_address": "@", "sql_template": "{", "path_traversal": "("}
+
+#: What is found in test files too: secrets that leak from them as well.
+LEAKS = ("private_key", "aws_access_key", "api_token")
+#: A hardcoded secret's line with one of these is a sample, a rule or a look-up, not a secret.
+PLACEHOLDER = "(?i)([:=]\\s*[\"']?(changeme|password|your[-_]|example|placeholder|xxx|test|dummy|todo)|must be|should be|at least|characters|required|process\\.env|import\\.meta\\.env|os\\.environ|getenv)"
+#: A file that logs more often than this is told of each place.
+LOG_CALLS = 10
 
 
 def chunk_windows(docs: DataFrame, id_col: str, text: Column, size: int = 50) -> DataFrame:
@@ -44,23 +57,70 @@ def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "content")).select("id", (F.col("pos") + 1).alias("line"), "content")
 
 
-def security_scan(docs: DataFrame, id_col: str, text: Column, patterns=SECURITY) -> DataFrame:
-    """(id, line, pattern, severity): one pass over the lines that any pattern hits; comment lines are skipped."""
+def security_scan(docs: DataFrame, id_col: str, text: Column, patterns=SECURITY, path: Column | None = None) -> DataFrame:
+    """(id, line, pattern, severity): one pass over the lines that any pattern hits; comment lines are skipped.
+
+    With ``path``, vendored files are left out, test files are searched for leaked secrets only, and files that
+    are neither tests nor command lines and call console.log more than LOG_CALLS times have each call listed.
+    """
     hit = lambda c, n, p: F.contains(c, F.lit(HINTS[n])) & c.rlike(p) if n in HINTS else c.rlike(p)
+    if path is not None:
+        from siftwright.operators.audit import PATH_CLASSES
+
+        docs = docs.where(~path.rlike(PATH_CLASSES["vendored"]))
+        patterns = (*patterns, ("console_log", "low", "console\\.log\\s*\\("))
     some = docs.where(reduce(lambda a, b: a | b, (hit(text, n, p) for n, _, p in patterns)))
-    rows = lines(some, id_col, text).where(~F.col("content").rlike("^\\s*(//|#|\\*)"))
-    hits = F.filter(F.array(*(F.when(hit(F.col("content"), n, p), F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"))) for n, s, p in patterns)), lambda x: x.isNotNull())
-    return rows.select("id", "line", F.explode(hits).alias("h")).select("id", "line", "h.pattern", "h.severity")
+    place = F.struct(F.col(id_col).alias("id"), *([] if path is None else [path.alias("path")]))
+    rows = lines(some.withColumn("__place", place), "__place", text).where(~F.col("content").rlike("^\\s*(//|#|\\*)"))
+    sample = F.col("content").rlike(PLACEHOLDER)
+    good = lambda n, p: hit(F.col("content"), n, p) & ~sample if n == "hardcoded_secret" else hit(F.col("content"), n, p)
+    hits = F.filter(F.array(*(F.when(good(n, p), F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"))) for n, s, p in patterns)), lambda x: x.isNotNull())
+    found = rows.select("id.*", "line", F.explode(hits).alias("h")).select("*", "h.pattern", "h.severity").drop("h")
+    if path is None:
+        return found
+    test = F.col("path").rlike(PATH_CLASSES["test"])
+    found = found.where(~test | F.col("pattern").isin(*LEAKS)).where((F.col("pattern") != "console_log") | ~F.col("path").rlike(PATH_CLASSES["cli"]))
+    many = found.where("pattern = 'console_log'").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > LOG_CALLS).select("id", F.lit("console_log").alias("pattern"))
+    noisy = found.where("pattern = 'console_log'").join(many, ["id", "pattern"], "left_semi")
+    return found.where("pattern <> 'console_log'").unionByName(noisy).drop("path")
+
+
+#: Forms in which a line refers to a name, group 1 being the name: calls, constructors, JSX elements, arguments, decorators, types.
+REFERENCES = (
+    "([A-Za-z_][A-Za-z0-9_]{2,})\\s*\\(",
+    "(?:^|[^A-Za-z0-9_])new\\s+([A-Z][A-Za-z0-9_]{2,})",
+    "<([A-Z][A-Za-z0-9_]{2,})",
+    "[,(]\\s*([a-z_][A-Za-z0-9_]{2,})\\s*[,)]",
+    "@([A-Z][A-Za-z0-9_]{2,})",
+    "(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]{2,})(?:<|\\[\\]|\\.class|\\s+[a-z_])",
+    "(?:extends|implements|throws|instanceof|catch)[\\s(]+([A-Z][A-Za-z0-9_]{2,})",
+    "[<,]\\s*([A-Z][A-Za-z0-9_]{2,})\\s*[>,?&]",
+    "import\\s+(?:static\\s+)?(?:[a-z_][A-Za-z0-9_]*\\.)+([A-Z][A-Za-z0-9_]{2,})",
+)
+#: Names that say nothing wherever they stand.
+COMMON_NAMES = (
+    *("abstract", "await", "break", "case", "class", "const", "continue", "crate", "def", "default", "defn", "echo", "elif", "else", "end", "enum", "except", "export", "extends", "extern", "false", "final", "finally", "func"),
+    *("impl", "implements", "import", "include", "interface", "let", "match", "mod", "module", "mut", "namespace", "nil", "null", "object", "package", "private", "protected", "pub", "public", "raise", "record", "ref", "require", "self", "static", "struct", "super"),
+    *("then", "this", "throw", "throws", "trait", "true", "try", "type", "undefined", "unsafe", "use", "var", "void", "when", "yield", "console", "process", "Array", "Object", "String", "Number", "Boolean", "Map", "Set", "Promise", "Error", "Date", "Math", "JSON", "RegExp"),
+    *("Integer", "Long", "Double", "Float", "List", "ArrayList", "HashMap", "HashSet", "Optional", "Stream", "Exception", "RuntimeException", "Override", "Deprecated", "length", "push", "pop", "shift", "unshift", "map", "filter", "reduce", "forEach", "slice", "splice", "split", "join", "concat", "includes", "indexOf", "find", "some", "every"),
+    *("log", "info", "warn", "error", "debug", "println", "printf", "assert", "expect", "test", "describe", "beforeEach", "afterEach", "parseInt", "parseFloat", "toString", "valueOf"),
+)
 
 
 def call_references(docs: DataFrame, id_col: str, text: Column, skip_definitions: bool = False) -> DataFrame:
-    """(id, line, name): names before an opening bracket, after strings and comments are taken out; once a line."""
+    """(id, line, name): names that a line refers to in any form of REFERENCES, once a line; strings and comments are taken out before.
+
+    The name that a line defines as a class, interface, enum or record is no reference; with
+    ``skip_definitions``, neither is that of a function.
+    """
     code = F.regexp_replace(F.regexp_replace(F.col("content"), "\"[^\"]*\"|'[^']*'|`[^`]*`", ""), "//.*|#.*|--.*", "")
+    code = F.regexp_replace(code, "(^|[^A-Za-z0-9_])(class|interface|enum|record)\\s+[A-Za-z_][A-Za-z0-9_]*", "")
     if skip_definitions:
         code = F.regexp_replace(code, "(^|[^A-Za-z0-9_])(def|function|func|fn|fun|sub)\\s+[A-Za-z_][A-Za-z0-9_]*", "")
-    rows = lines(docs, id_col, text).where(F.contains("content", F.lit("(")))
-    each = rows.select("id", "line", F.explode(F.array_distinct(F.regexp_extract_all(code, F.lit("([A-Za-z_][A-Za-z0-9_]*)\\s*\\("), F.lit(1)))).alias("name"))
-    return each.where(~F.col("name").isin(*NOT_CALLS))
+    rows = lines(docs, id_col, text).where(F.col("content").rlike("[(<@,]|[A-Z]")).select("id", "line", code.alias("code"))
+    names = reduce(F.array_union, (F.regexp_extract_all("code", F.lit(p), F.lit(1)) for p in REFERENCES))
+    each = rows.select("id", "line", F.explode(names).alias("name"))
+    return each.where(~F.col("name").isin(*NOT_CALLS, *COMMON_NAMES))
 
 
 def doc_mentions(docs: DataFrame, id_col: str, text: Column, known: DataFrame) -> DataFrame:
@@ -113,17 +173,18 @@ def git_log_memories(log: DataFrame, subject: str) -> DataFrame:
     return parts.where((F.col("type") != "") & F.length("content").between(20, 500)).withColumn("category", category)
 
 
-def diff_lines(diff: DataFrame, text: str) -> DataFrame:
-    """(file, old_start, new_start, op, content) of a unified diff whose lines are numbered in ``line``."""
-    from pyspark.sql import Window
+def diff_lines(diff: DataFrame, text: str, of: str | None = None) -> DataFrame:
+    """(file, old_start, new_start, op, content) of unified diffs whose lines are numbered in ``line``.
 
-    order = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ``of`` names the diff that a line belongs to, so that many diffs are read side by side; one diff is read in one task.
+    """
+    order = Window.partitionBy(*([of] if of else [F.lit(0)])).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last_value(c, True).over(order)
     head = F.when(F.col(text).startswith("@@"), F.struct(F.regexp_extract(text, "^@@ -(\\d+)", 1).cast("int").alias("old_start"), F.regexp_extract(text, "\\+(\\d+)", 1).cast("int").alias("new_start")))
     file = F.when(F.col(text).startswith("+++ "), F.regexp_replace(text, "^\\+\\+\\+ (b/)?", ""))
     rows = diff.withColumn("file", last(file)).withColumn("head", last(head))
     body = F.col(text).rlike("^[ +-]") & ~F.col(text).rlike("^(\\+\\+\\+|---) ")
-    return rows.where(body & F.col("head").isNotNull()).select("file", "head.old_start", "head.new_start", F.substring(text, 1, 1).alias("op"), F.substring(text, 2, 1 << 30).alias("content"))
+    return rows.where(body & F.col("head").isNotNull()).select(*([of] if of else []), "file", "head.old_start", "head.new_start", F.substring(text, 1, 1).alias("op"), F.substring(text, 2, 1 << 30).alias("content"))
 
 
 def change_status(names: DataFrame, line: str) -> DataFrame:

@@ -74,16 +74,124 @@ def conflicts(close: DataFrame, shares_file: Column, least: float = 0.92) -> Dat
 
 
 def consolidate(memories: DataFrame, pairs: DataFrame, id_col: str, least: int = 3) -> DataFrame:
-    """(seed, members): groups of similar rows, a seed and the rows that are similar to no earlier seed.
+    """(seed, members): greedy groups of similar rows in the order of their ids.
 
-    Greedy order is replaced by a fixed rule: a row seeds a group if no similar row has a smaller id.
+    The first row that is in no group yet seeds one of all rows similar to it that are in none; a group under
+    ``least`` leaves its seed alone and frees the others. A row's fate hangs on smaller rows only, so each round settles
+    all rows whose smaller neighbours are settled, however many they are; there are as many rounds as the longest chain of similar rows in that order.
     """
-    both = pairs.select(F.col("a"), F.col("b")).union(pairs.select("b", "a"))
-    first = both.groupBy("a").agg(F.min("b").alias("least"))
-    seeds = first.where("a < least").select(F.col("a").alias("seed"))
-    member = both.join(seeds, F.col("b") == F.col("seed")).groupBy("a").agg(F.min("seed").alias("seed"))
-    counted = member.groupBy("seed").agg((F.count("*") + 1).alias("members"))
-    return counted.where(F.col("members") >= least)
+    from siftwright.operators.graph import cut
+
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct())
+    state = cut(both.select(F.col("a").alias("id")).distinct().withColumn("fate", F.lit(None).cast("string")).withColumn("seed", F.lit(None).cast("long")))
+    while not state.where("fate IS NULL").isEmpty():
+        open_ = state.where("fate IS NULL").select("id")
+        # next are rows all of whose neighbours, and neighbours' neighbours, that are open are larger
+        inner = both.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi")
+        near = open_.join(inner.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")), "id", "left").select("id", F.least("id", "m").alias("m"))
+        far = inner.join(near.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.min("m").alias("m2"))
+        ready = near.join(far, "id", "left").where((F.col("id") == F.col("m")) & (F.coalesce("m2", "id") >= F.col("id"))).select("id")
+        group = inner.join(ready.withColumnRenamed("id", "a"), "a", "left_semi")
+        size = ready.join(group.groupBy(F.col("a").alias("id")).agg((F.count("*") + 1).alias("n")), "id", "left").select("id", (F.coalesce("n", F.lit(1)) >= least).alias("seeds"))
+        taken = group.join(size.where("seeds").select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("s"))
+        step = state.join(size, "id", "left").join(taken, "id", "left")
+        fate = F.coalesce(F.col("fate"), F.when(F.col("seeds"), "seed").when(~F.col("seeds"), "alone").when(F.col("s").isNotNull(), "member"))
+        state = cut(step.select("id", fate.alias("fate"), F.coalesce("seed", F.when(F.col("seeds"), F.col("id")), "s").alias("seed")))
+    return state.where("seed IS NOT NULL").groupBy("seed").agg(F.count("*").alias("members"))
+
+
+def default_tier(category: Column) -> Column:
+    """Rules and preferences are always at hand."""
+    return F.when(category.isin("procedural", "preference"), "core").otherwise("archive")
+
+
+def default_confidence(category: Column) -> Column:
+    return F.when(category == "procedural", 0.95).otherwise(1.0)
+
+
+def remember(memories: DataFrame, new: DataFrame, at: str, sure: float = 0.92, close: float = 0.85, top: int = 50) -> DataFrame:
+    """Memories after new ones were written: active ones that a new one contradicts are invalidated by it, none is deleted.
+
+    Both have (id, category, content, vector, related array<string>), memories also (confidence, tier, kind,
+    valid_from, invalidated_at, superseded_by). Of the ``top`` memories nearest to a new one (cosine ``close`` or more), those contradict it that
+    are nearly equal (``sure``) or touch a file of it. ``new`` is what one call writes; it is broadcast, so a
+    set beyond vector.BLOCK rows raises an error.
+    """
+    from siftwright.operators.vector import BLOCK
+
+    if new.limit(BLOCK + 1).count() > BLOCK:
+        raise ValueError(f"more than {BLOCK} memories in one call")
+    pairs = similar(active(memories), new, "id", "vector", close, top)
+    files = pairs.join(memories.select("id", F.col("related").alias("old")), "id").join(F.broadcast(new.select(F.col("id").alias("new_id"), F.col("related").alias("now"))), "new_id")
+    shares = F.coalesce(F.arrays_overlap("old", "now"), F.lit(False))
+    by = conflicts(files, shares, sure).groupBy("id").agg(F.min("new_id").alias("by"))
+    when = F.lit(at).cast("timestamp_ntz")
+    old = memories.join(by, "id", "left").withColumn("invalidated_at", F.when(F.col("by").isNotNull(), when).otherwise(F.col("invalidated_at"))).withColumn("superseded_by", F.coalesce("superseded_by", "by")).select(memories.columns)
+    category = F.col("category")
+    rows = new.withColumns({"confidence": default_confidence(category), "tier": default_tier(category), "kind": default_kind(category), "valid_from": when, "invalidated_at": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("long")})
+    return old.unionByName(rows.select(memories.columns))
+
+
+def pin(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """Memories(id, pins) after asked(id, target, op) of op 'pin' or 'unpin'; a target is pinned once, unknown ids change nothing."""
+    by = asked.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("op") == "pin", F.col("target")))).alias("more"), F.collect_set(F.when(F.col("op") == "unpin", F.col("target"))).alias("less"))
+    had = F.coalesce("pins", F.array().cast("array<string>"))
+    new = F.array_except(F.array_union(had, "more"), "less")
+    return memories.join(by, "id", "left").withColumn("pins", F.when(F.col("more").isNotNull(), new).otherwise(F.col("pins"))).select(memories.columns)
+
+
+def set_tier(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """Memories after asked(id, tier): promoted to 'core' or demoted to 'archive'."""
+    return memories.join(asked.groupBy("id").agg(F.max("tier").alias("asked")), "id", "left").withColumn("tier", F.coalesce("asked", "tier")).select(memories.columns)
+
+
+def forget(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    return memories.join(ids.select("id"), "id", "left_anti")
+
+
+def timeline(memories: DataFrame, created: str, tie: str = "id", limit: int = 500) -> DataFrame:
+    """Newest first, invalidated ones too."""
+    return memories.orderBy(F.col(created).desc(), F.col(tie).desc()).limit(limit)
+
+
+def core(memories: DataFrame, created: str, category: str | None = None, kind: str | None = None, limit: int = 10) -> DataFrame:
+    """The memories that every session starts from: active, of the core tier, newest first."""
+    rows = active(memories).where("tier = 'core'")
+    for column, value in (("category", category), ("kind", kind)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows.orderBy(F.col(created).desc(), F.col("id").desc()).limit(limit)
+
+
+def wakeup(files: DataFrame, memories: DataFrame, created: str, top: int = 5) -> DataFrame:
+    """(section, place, value): the best ranked files, then core memories or, without any, the newest ones."""
+    best = files.orderBy(F.col("rank").desc(), "path").limit(top).where("rank > 0").select(F.lit("files").alias("section"), F.col("rank").alias("by"), F.col("path").alias("value"))
+    own = core(memories, created)
+    some = own.agg(F.count("*").alias("n")).where("n = 0").select("n")
+    recent = timeline(active(memories), created, limit=top).join(F.broadcast(some)).drop("n")
+    rows = best
+    for section, part in (("core", own), ("recent", recent)):
+        rows = rows.unionByName(part.select(F.lit(section).alias("section"), F.unix_timestamp(F.col(created).cast("timestamp")).cast("double").alias("by"), F.col("content").alias("value")))
+    return top_per_group(rows, ["section"], [F.col("by").desc(), F.col("value")], 10, "place").select("section", "place", "value")
+
+
+def handles(bodies: DataFrame, tool: str, body: str, at: str, ttl_minutes: int = 60, preview: int = 400) -> DataFrame:
+    """Adds what refers to a stored answer: an id of its own, when it expires and a preview."""
+    when = F.lit(at).cast("timestamp_ntz")
+    shown = F.when(F.length(body) > preview, F.concat(F.substring(body, 1, preview), F.lit("\n…"))).otherwise(F.col(body))
+    key = F.concat(F.lit("ctx_"), F.substring(F.sha2(F.concat_ws("\x1f", F.col(tool), F.col(body), when.cast("string")), 256), 1, 16))
+    return bodies.withColumns({"handle": key, "created_at": when, "expires_at": when + F.expr(f"INTERVAL {ttl_minutes} MINUTES"), "preview": shown})
+
+
+def handle_status(handles_: DataFrame, now: str, sha: Column) -> DataFrame:
+    """Adds ``status``: expired, stale where the tree has moved on since, else fresh."""
+    moved = (F.col("sha") != sha) & F.col("sha").isNotNull() & sha.isNotNull()
+    status = F.when(F.col("expires_at") < F.lit(now).cast("timestamp_ntz"), "expired").when(moved, "stale").otherwise("fresh")
+    return handles_.withColumn("status", status)
+
+
+def last_calls(calls: DataFrame, group: list[str], order: list[Column], n: int = 8) -> DataFrame:
+    """A ring of the last ``n`` calls of each session, newest first."""
+    return top_per_group(calls, group, order, n, "place")
 
 
 def replay(journal: DataFrame, id_col: str = "id", seq: str = "seq", op: str = "op") -> DataFrame:

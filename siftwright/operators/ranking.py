@@ -75,10 +75,14 @@ def top_decile(df: DataFrame, score: str, share: float = 0.1) -> DataFrame:
 def pack_skip(df: DataFrame, group: list[str], order: list[Column], cost: str, id_col: str, budget: int) -> DataFrame:
     """Greedy packing: rows in order, a row that doesn't fit is skipped and later ones may still fit.
 
-    The rows of one answer are gathered in an array and folded; callers cap an answer's rows beforehand.
+    Once a row of some cost doesn't fit, no later row of that cost does: so of each cost only the first
+    floor(budget / cost) rows of a group can be taken, all told about budget * ln(budget) rows. Those are gathered in an
+    array and folded, the others never leave their task (WindowGroupLimit). Rows without a positive cost aren't taken.
     Returns the group, id and cost of the rows taken, and what is left of the budget.
     """
-    rows = df.select(*group, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(id_col).alias("id"), F.col(cost).cast("long").alias("cost")).alias("r"))
+    known = F.col(cost).cast("long")
+    some = top_per_group(df.where((known > 0) & (known <= budget)), [*group, cost], order, budget, "__place").where(F.col("__place") * known <= budget)
+    rows = some.select(*group, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(id_col).alias("id"), F.col(cost).cast("long").alias("cost")).alias("r"))
     listed = rows.groupBy(*group).agg(F.sort_array(F.collect_list("r")).alias("rs"))
     start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<id:bigint,cost:bigint>>").alias("taken"))
 

@@ -107,7 +107,7 @@ def duplicates(symbols: DataFrame, name: str, file: str, least: int = 2) -> Data
     return symbols.groupBy(name).agg(F.count_distinct(file).alias("files"), F.min(file).alias("first_file"), F.max(file).alias("last_file")).where(F.col("files") >= least)
 
 
-def shared_pins(memories: DataFrame, id_col: str, pins: Column, sha: str, order: str, max_members: int | None = None) -> DataFrame:
+def shared_pins(memories: DataFrame, id_col: str, pins: Column, sha: str, order: str) -> DataFrame:
     """(older, newer, shared): pairs of rows that share a pin and stem from different commits.
 
     The pairing is an equi-join on the pin. Two unknown commits count as different.
@@ -120,6 +120,36 @@ def shared_pins(memories: DataFrame, id_col: str, pins: Column, sha: str, order:
     return pairs.groupBy(F.col("a.id").alias("older"), F.col("b.id").alias("newer")).agg(F.count("*").alias("shared"))
 
 
+def similar_sets(rows: DataFrame, id_col: str, members: str, least: float) -> DataFrame:
+    """(id, class_id, links): rows by equal sets, and with how many other rows a set's similarity is ``least`` or more.
+
+    Equal sets fall into one class first, so a group of copies is one row from here on. Classes with a Jaccard
+    similarity of t share one of their n - ceil(t n) + 1 rarest members (prefix filter), which is what they meet by; each
+    pair is then counted on the whole sets. ``links`` counts rows, those of the own class but itself too. An empty set
+    is linked with nothing, a null one with nothing and in no class.
+    """
+    from siftwright.operators.graph import cut
+
+    sets = rows.select(F.col(id_col).alias("id"), F.sort_array(F.array_distinct(F.col(members))).alias("set")).withColumn("print", F.struct(F.xxhash64("set"), F.hash("set"), F.size("set")))
+    classes = cut(sets.where("set IS NOT NULL").groupBy("print").agg(F.min("id").alias("class_id"), F.count("*").alias("rows"), F.min_by("set", "id").alias("set")))
+    some = classes.where(F.size("set") > 0)
+    each = some.select("class_id", F.explode("set").alias("m"))
+    rare = each.join(each.groupBy("m").agg(F.count("*").alias("df")), "m")
+    # the rarest members of each set, in one order for all sets
+    order = rare.groupBy("class_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "m"))), lambda s: s["m"]).alias("by_df"))
+    n = F.size("by_df")
+    prefix = cut(order.select("class_id", n.alias("n"), F.explode(F.slice("by_df", F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)).alias("m")))
+    a, b = (prefix.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}"), "m") for x in "ab")
+    pairs = a.join(b, "m").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)).select("a", "b").distinct()
+    left, right = (some.select(F.col("class_id").alias(x), F.col("set").alias(f"set_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    sure = pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("set_a") + F.size("set_b") - both) - 1e-9)
+    ends = F.array(F.struct(F.col("a").alias("class_id"), F.col("rows_b").alias("n")), F.struct(F.col("b").alias("class_id"), F.col("rows_a").alias("n")))
+    links = sure.select(F.explode(ends).alias("e")).groupBy("e.class_id").agg(F.sum("e.n").alias("others"))
+    total = classes.join(links, "class_id", "left").select("print", "class_id", F.when(F.size("set") == 0, 0).otherwise(F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("links"))
+    return sets.join(total, "print", "left").select(F.col("id").alias(id_col), F.when(F.col("set").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
     """The value of the interval with the latest start that holds each point; points without one keep null."""
     hit = points.join(intervals, key, "left").withColumn("__in", (F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))

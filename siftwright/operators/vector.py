@@ -23,6 +23,39 @@ def top_k(vectors: DataFrame, query: DataFrame, id_col: str, vec_col: str, query
     return top_per_group(scored.drop("__v").withColumnRenamed("__q", query_id), [query_id], [F.col("score").desc(), F.col(id_col)], k)
 
 
+#: Query vectors that are compared at once: the bound of what is broadcast.
+BLOCK = 4096
+
+
+def query_blocks(query: DataFrame, query_id: str) -> list[DataFrame]:
+    """A query set in blocks of about BLOCK rows, dealt by a hash of the id."""
+    n = max(1, -(-query.count() // BLOCK))
+    return [query] if n == 1 else [query.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)]
+
+
+def top_k_blocks(vectors: DataFrame, query: DataFrame, id_col: str, vec_col: str, query_id: str, query_vec: str, k: int, least: float = -2.0) -> DataFrame:
+    """The ``k`` best rows for each row of a query set of any size: blocks of it are broadcast, one after the other."""
+    out = None
+    for block in query_blocks(query, query_id):
+        part = top_k(vectors, block, id_col, vec_col, query_vec, k, least, query_id)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def max_sim_table(vectors: DataFrame, query: DataFrame, doc: str, vec_col: str, query_id: str, query_vec: str) -> DataFrame:
+    """(doc, max_sim) over a table with a row for each token vector: no document's vectors are gathered.
+
+    The best product of each query vector is a partial maximum; documents sum theirs. ``query`` is one question's
+    vectors, in blocks.
+    """
+    best = None
+    for block in query_blocks(query, query_id):
+        q = F.broadcast(block.select(F.col(query_id).alias("__q"), F.col(query_vec).alias("__v")))
+        part = vectors.join(q).groupBy(doc, "__q").agg(F.max(dot(F.col(vec_col), F.col("__v"))).alias("best"))
+        best = part if best is None else best.unionByName(part)
+    return best.groupBy(doc).agg(F.sum("best").alias("max_sim"))
+
+
 def rerank(pool: DataFrame, id_col: str, query_tokens: str, doc_tokens: str, order: str, k: int = 10) -> DataFrame:
     """Re-order a pool by MaxSim; a document without token vectors comes last; ties keep the old order."""
     score = F.when(F.col(doc_tokens).isNull(), F.lit(float("-inf"))).otherwise(max_sim(F.col(query_tokens), F.col(doc_tokens)))

@@ -46,10 +46,10 @@ def memory_digest(t):
     return audit.digest(rows, "ts", "stale", "related", "2024-01-20 00:00:00")
 
 
-@query("SELECT a.vec_id AS hit, b.vec_id AS near, abs(a.vec_id - b.vec_id)::DOUBLE * 10 AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.vec_id - b.vec_id), b.vec_id) <= 2")
+@query("SELECT a.vec_id AS hit, b.vec_id AS near, abs(a.vec_id - b.vec_id)::DOUBLE * 10 AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(a.vec_id - b.vec_id), b.vec_id) <= 2")
 def bundle_neighbours(t):
     chunks = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("file"), (F.col("vec_id") * 10).alias("start"), (F.col("vec_id") * 10 + 9).alias("end"))
-    return audit.neighbours(t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("id")), chunks)
+    return audit.neighbours(t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id")), chunks)
 
 
 @query("WITH f AS (SELECT vec_id AS id FROM embeddings WHERE vec_id < 3), s AS (SELECT id FROM f UNION SELECT vec_id FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id < 3)), m AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY 1 ORDER BY label DESC LIMIT 2) AND vec_id NOT IN (SELECT id FROM s)) SELECT id FROM s UNION ALL SELECT id FROM m WHERE i + (SELECT count(*) FROM s) <= 180 AND i <= 180")
@@ -99,11 +99,13 @@ def audit_trend(t):
     return audit.trend(t.orders.join(F.broadcast(least), F.col("o_custkey") == F.col("k")), "o_orderdate", "o_totalprice")
 
 
-@query("SELECT sum(n)::BIGINT AS memories, count(*) AS sections FROM (SELECT doc_id, count(*) AS n FROM documents WHERE length(text) BETWEEN 20 AND 500 GROUP BY 1)")
+@query("""WITH b AS (SELECT source, regexp_extract_all(text, '(?m)^[ ]*[-*][ ]+(.+)$', 1) AS bullets, trim(regexp_split_to_array(trim(text), '\\n[ \\n]*\\n')[1]) AS first FROM documents),
+c AS (SELECT source AS section, unnest(CASE WHEN len(bullets) >= 3 THEN bullets ELSE [first] END) AS content FROM b)
+SELECT section, count(*) AS memories, sum(length(content))::BIGINT AS chars FROM c WHERE length(content) BETWEEN 20 AND 500 GROUP BY 1""")
 def short_notes(t):
-    notes = t.documents.select("doc_id", F.concat(F.lit("## s\n"), F.regexp_replace("text", "\n", " ")).alias("text"))
-    found = notes.select("doc_id", "text").where(F.length("text").between(25, 505))
-    return found.agg(F.count("*").alias("memories"), F.count_distinct("doc_id").alias("sections"))
+    """Each document as a section of notes under the name of its source."""
+    notes = t.documents.select(F.concat(F.lit("## "), F.col("source"), F.lit("\n"), F.col("text")).alias("text"))
+    return audit.markdown_memories(notes, "text").groupBy("section").agg(F.count("*").alias("memories"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("WITH o AS (SELECT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_quantity < 10 GROUP BY 1, 2), n AS (SELECT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_quantity < 20 AND l_discount > 0.02 GROUP BY 1, 2) SELECT coalesce(o.k, n.k) AS k, count(*) FILTER (WHERE o.v IS NULL) AS added, count(*) FILTER (WHERE n.v IS NULL) AS removed, count(*) FILTER (WHERE o.v IS NOT NULL AND n.v IS NOT NULL) AS common FROM o FULL JOIN n ON o.k = n.k AND o.v = n.v GROUP BY 1")

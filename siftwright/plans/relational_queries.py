@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.functions.text import clean_url, common_prefix_dir, content_hash, dir_name, identifier_parts, jaccard, referrer_bucket, token_estimate, tokens, top_dirs, url_host
+from siftwright.functions.text import base_name, clean_url, common_prefix_dir, content_hash, dir_name, identifier_parts, referrer_bucket, token_estimate, tokens, top_dirs, url_host
 from siftwright.operators import memory, ranking, relational, stats
 from siftwright.plans.registry import query
 
@@ -24,18 +24,18 @@ def god_nodes_defined(t):
     return relational.god_nodes(t.lineitem, "l_partkey", "l_suppkey", defined).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT p_partkey, p_name, CASE WHEN p_name = 'part 1' THEN 0 WHEN starts_with(lower(p_name), 'part 1') THEN 1 ELSE 2 END AS tier FROM part WHERE contains(lower(p_name), 'part 1') ORDER BY tier, p_retailprice DESC, p_partkey LIMIT 20")
+@query("SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 0 WHEN starts_with(lower(p_name), 'red widget') THEN 1 ELSE 2 END AS tier FROM part WHERE contains(lower(p_name), 'red widget') ORDER BY tier, p_retailprice DESC, p_partkey LIMIT 20")
 def lookup_ranked(t):
-    return relational.lookup(t.part, "p_name", "part 1", "p_retailprice", "p_partkey").select("p_partkey", "p_name", "tier")
+    return relational.lookup(t.part, "p_name", "red widget", "p_retailprice", "p_partkey").select("p_partkey", "p_name", "tier")
 
 
-@query("SELECT l_orderkey AS chunk_id, l_linenumber AS line, o_custkey AS file_id, round(c_acctbal, 2) AS rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey = 7 ORDER BY c_acctbal DESC, l_orderkey, l_linenumber LIMIT 50")
+@query("SELECT l_orderkey * 100 + l_linenumber AS chunk_id, o_custkey AS file_id, round(c_acctbal, 2) AS rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_partkey = 7 ORDER BY c_acctbal DESC, l_orderkey * 100 + l_linenumber LIMIT 50")
 def impact_refs(t):
-    refs = t.lineitem.select(F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("line"))
-    chunks = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("file_id"))
+    chunk = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("chunk_id")
+    refs = t.lineitem.select(F.col("l_partkey").alias("target"), chunk)
+    chunks = t.lineitem.select("l_orderkey", chunk).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("chunk_id", F.col("o_custkey").alias("file_id")).distinct()
     files = t.customer.select(F.col("c_custkey").alias("file_id"), F.col("c_acctbal").alias("rank"))
-    joined = refs.where(F.col("target") == 7).join(chunks, "chunk_id").join(files, "file_id")
-    return joined.orderBy(F.col("rank").desc(), "chunk_id", "line").limit(50).select("chunk_id", "line", "file_id", F.round("rank", 2).alias("rank"))
+    return relational.impact(refs, chunks, files, 7).select("chunk_id", "file_id", F.round("rank", 2).alias("rank"))
 
 
 @query("SELECT p_brand, count(*) AS definitions, CASE WHEN count(*) = 1 THEN 'DIRECT' WHEN count(*) > 1 THEN 'UNCERTAIN' ELSE 'INFERRED' END AS kind FROM part GROUP BY 1")
@@ -163,10 +163,9 @@ def graph_summary(t):
     return s.withColumns({c: F.round(c, 6) for c in ("avg_out", "avg_in")})
 
 
-@query("SELECT a.o_orderkey AS older, b.o_orderkey AS newer, 1::BIGINT AS shared FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus <> b.o_orderstatus AND (a.o_orderdate < b.o_orderdate OR (a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey)) WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '1-URGENT'")
+@query("SELECT a.o_orderkey AS older, b.o_orderkey AS newer, 1::BIGINT AS shared FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus <> b.o_orderstatus AND (a.o_orderdate < b.o_orderdate OR (a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey))")
 def conflict_pairs(t):
-    rows = t.orders.where("o_orderpriority = '1-URGENT'")
-    return relational.shared_pins(rows, "o_orderkey", F.array("o_custkey"), "o_orderstatus", "o_orderdate")
+    return relational.shared_pins(t.orders, "o_orderkey", F.array("o_custkey"), "o_orderstatus", "o_orderdate")
 
 
 @query("WITH a AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' WHEN a.p_size IS NOT DISTINCT FROM b.p_size THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p_partkey = b.p_partkey")
@@ -226,13 +225,13 @@ def top_decile(t):
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT lang, doc_id, ceil(n_chars / 3.5)::BIGINT + 30 AS cost, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE n_chars < 9000),
+WITH RECURSIVE r AS (SELECT lang, doc_id, ceil(n_chars / 3.5)::BIGINT + 30 AS cost, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents),
 p AS (SELECT lang, 0::BIGINT AS k, 4000::BIGINT AS rest, NULL::BIGINT AS doc_id, NULL::BIGINT AS cost FROM r GROUP BY lang
  UNION ALL SELECT p.lang, p.k + 1, CASE WHEN r.cost <= p.rest THEN p.rest - r.cost ELSE p.rest END, CASE WHEN r.cost <= p.rest THEN r.doc_id END, CASE WHEN r.cost <= p.rest THEN r.cost END FROM p JOIN r ON r.lang = p.lang AND r.k = p.k + 1)
 SELECT lang, doc_id, cost, min(rest) OVER (PARTITION BY lang) AS left_over FROM p QUALIFY doc_id IS NOT NULL
 """)
 def budget_skip(t):
-    rows = t.documents.where("n_chars < 9000").withColumn("cost", F.ceil(F.col("n_chars") / 3.5) + 30)
+    rows = t.documents.withColumn("cost", F.ceil(F.col("n_chars") / 3.5) + 30)
     return ranking.pack_skip(rows, ["lang"], [-F.col("n_chars"), F.col("doc_id")], "cost", "doc_id", 4000)
 
 
@@ -255,12 +254,12 @@ def last_n_turns(t):
 _AGE = "date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders))"
 
 
-@query(f"SELECT o_orderkey, round((1 + o_custkey % 3) / (1 + {_AGE} * 0.02)::DOUBLE, 6) AS decay, round((1 + o_custkey % 3) / (1 + {_AGE} * 0.02)::DOUBLE, 6) < 0.05 AND o_orderstatus <> 'P' AS is_stale FROM orders")
+@query(f"SELECT o_orderkey, round((1 + o_custkey % 3) / (1 + {_AGE} * 0.02)::DOUBLE, 6) AS decay, (1 + o_custkey % 3) / (1 + {_AGE} * 0.02)::DOUBLE < 0.05 AND o_orderstatus <> 'P' AS is_stale FROM orders")
 def decay_stale(t):
     last = t.orders.agg(F.to_date(F.max("o_orderdate")).alias("last"))
     rows = t.orders.join(F.broadcast(last)).withColumn("age", F.datediff("last", F.to_date("o_orderdate"))).withColumn("access_count", F.col("o_custkey") % 3).withColumn("tier", F.when(F.col("o_orderstatus") == "P", "core").otherwise("recall"))
     out = memory.stale(rows, F.col("age"))
-    return out.select("o_orderkey", F.round("decay", 6).alias("decay"), ((F.round("decay", 6) < 0.05) & (F.col("tier") != "core")).alias("is_stale"))
+    return out.select("o_orderkey", F.round("decay", 6).alias("decay"), "is_stale")
 
 
 @query(f"SELECT o_orderkey, round(o_totalprice * 0.95 / (1 + {_AGE} * 0.01)::DOUBLE, 4) AS final FROM orders ORDER BY o_totalprice * 0.95 / (1 + {_AGE} * 0.01)::DOUBLE DESC, o_orderkey LIMIT 30")
@@ -270,12 +269,14 @@ def recency_rank(t):
     return memory.recency_rank(rows, "o_totalprice", F.lit(0.95), F.col("age"), "o_orderkey", 30).select("o_orderkey", F.round("final", 4).alias("final"))
 
 
-@query("SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS sim FROM (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 600) a JOIN (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 600) b ON a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE >= 0.3")
+@query("""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS class_id, count(*) AS n FROM d GROUP BY w), e AS (SELECT class_id, n, len(w) AS k, unnest(w) AS x FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, any_value(b.n) AS n, count(*) AS c, any_value(a.k) + any_value(b.k) AS k FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT a AS class_id, sum(n) AS others FROM p WHERE c >= 0.7 * (k - c) - 1e-9 GROUP BY 1)
+SELECT doc_id, class_id, (CASE WHEN len(w) = 0 THEN 0 ELSE n - 1 + coalesce(others, 0) END)::BIGINT AS links FROM d JOIN c USING (w) LEFT JOIN l USING (class_id)""")
 def jaccard_docs(t):
-    rows = t.documents.where("n_chars < 600").select("doc_id", "source", F.array_distinct(tokens(F.col("text"))).alias("w"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), jaccard(F.col("a.w"), F.col("b.w")).alias("sim")).where("sim >= 0.3").withColumn("sim", F.round("sim", 6))
+    """Documents whose word sets have a similarity of 0.7 or more: a class of equal sets and the number of links of each document."""
+    return relational.similar_sets(t.documents.select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", "w", 0.7)
 
 
 @query("WITH f AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_quantity > 45), e AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_discount >= 0.05), s AS (SELECT coalesce(f.k, e.k) AS k, count(f.v) AS found, count(e.v) AS expected, count(*) FILTER (WHERE f.v IS NOT NULL AND e.v IS NOT NULL) AS hit FROM f FULL JOIN e ON f.k = e.k AND f.v = e.v GROUP BY 1), r AS (SELECT *, CASE WHEN found = 0 THEN CASE WHEN expected = 0 THEN 1.0 ELSE 0.0 END ELSE hit / found::DOUBLE END AS p, CASE WHEN expected = 0 THEN 1.0 ELSE hit / expected::DOUBLE END AS r FROM s) SELECT k, found, expected, hit, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM r")
@@ -291,9 +292,9 @@ def mrr_eval(t):
     return stats.mean_reciprocal_rank(r, "o_custkey", "rank", F.col("o_orderstatus") == "P").withColumns({c: F.round(c, 6) for c in ("hit_rate", "mrr")})
 
 
-@query("WITH i AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey <= 20), g AS (SELECT o_orderpriority, count(*) AS n, array_to_string(list_sort(list(o_orderkey))[1:3], ',') AS sample FROM i JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderpriority, n, sample FROM g WHERE n >= 3 AND (SELECT count(*) FROM i) > 80")
+@query("WITH i AS (SELECT DISTINCT l_orderkey FROM lineitem), g AS (SELECT o_orderpriority, count(*) AS n, array_to_string(list_sort(list(o_orderkey))[1:3], ',') AS sample FROM i JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderpriority, n, sample FROM g WHERE n >= 3 AND (SELECT count(*) FROM i) > 80")
 def partition_plan(t):
-    items = t.lineitem.where("l_partkey <= 20").select("l_orderkey").distinct().join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = t.lineitem.select("l_orderkey").distinct().join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return stats.partition_plan(items, "o_orderpriority", "o_orderkey")
 
 
@@ -332,7 +333,16 @@ def content_hashes(t):
     return t.documents.select("doc_id", content_hash(F.col("text")).alias("hash"))
 
 
-@query("SELECT 1 AS id, 'src/a' AS prefix, 'src/a' AS top, 'get,user,by,id' AS parts, 'src/a/b' AS dir")
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), d AS (SELECT *, string_split(path, '/') AS w FROM p)
+SELECT page_id, CASE WHEN len(w) > 1 THEN array_to_string(w[1 : least(2, len(w) - 1)], '/') ELSE '.' END AS top, array_to_string(w[1 : len(w) - 1], '/') AS dir, w[len(w)] AS base, array_to_string(list_filter(regexp_split_to_array(lower(w[1]), '[^a-z0-9]+'), lambda x: x <> ''), ',') AS parts FROM d""")
 def path_functions(t):
-    rows = t.spark.createDataFrame([(1, ["src/a/b/x.py", "src/a/b/y.py", "src/a/z.py"], "getUser_byID", "src/a/b/x.py")], "id int, paths array<string>, name string, path string")
-    return rows.select("id", common_prefix_dir(F.col("paths")).alias("prefix"), top_dirs(F.col("path")).alias("top"), F.array_join(identifier_parts(F.col("name")), ",").alias("parts"), dir_name(F.col("path")).alias("dir"))
+    rows = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
+    return rows.select("page_id", top_dirs(F.col("path")).alias("top"), dir_name(F.col("path")).alias("dir"), base_name(F.col("path")).alias("base"), F.array_join(identifier_parts(F.split("path", "/")[0]), ",").alias("parts"))
+
+
+@query("""WITH p AS (SELECT page_id % 20 AS k, string_split(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/') AS w FROM pages), d AS (SELECT k, w[1 : len(w) - 1] AS dirs FROM p), f AS (SELECT k, min(len(dirs)) AS n, min(dirs[1]) AS a, max(dirs[1]) AS b FROM d GROUP BY 1)
+SELECT k, CASE WHEN n >= 1 AND a = b THEN a ELSE '' END AS prefix FROM f""")
+def common_dirs(t):
+    """Paths of pages have one directory or none: the one that all pages of a group share."""
+    rows = t.pages.select((F.col("page_id") % 20).alias("k"), F.regexp_extract("url", "^[a-z]+://[^/?#]+/([^?#]*)", 1).alias("path"))
+    return rows.groupBy("k").agg(F.collect_list("path").alias("paths")).select("k", common_prefix_dir(F.col("paths")).alias("prefix"))
