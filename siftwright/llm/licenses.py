@@ -2,8 +2,8 @@
 
 A notice that occurs with at most ``e`` edits keeps at least one of ``e + 1`` pieces intact (pigeonhole). One
 Aho-Corasick pass over the normalised words finds those exact pieces; around each, the regex library's
-bounded-error matching verifies the whole notice and gives its span and number of edits. Of spans that overlap,
-the one with the least share of edits stays, of those the longest. The notices are a table: the one given, or NOTICES. The contract's own
+bounded-error matching verifies the whole notice and gives its span and number of edits. Notices that stand
+unedited all stay; of edited ones that overlap, the one with the least share of edits does. The notices are a table: the one given, or NOTICES. The contract's own
 phrases are found as consecutive words.
 
 Text is normalised to its words (a-z after lowering A-Z, digits, all beyond ASCII) with one blank between them.
@@ -16,9 +16,11 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -61,18 +63,26 @@ class Search:
             for offset, piece in pieces(notice):
                 seeds.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
-        for piece, where in seeds.items():
-            self.automaton.add_word(piece, (len(piece), where))
+        for piece in {*seeds, *table}:
+            self.automaton.add_word(piece, (len(piece), seeds.get(piece, []), piece if piece in table else None))
         self.automaton.make_automaton()
-        self.notices = list(table.items())
+        self.notices, self.labels = list(table.items()), table
         self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n, special_only=True)}){{e<={edits(n)}}}") for n in table]
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, length of the notice) in the normalised text."""
-        found, done = [], [0] * len(self.notices)
         if not self.notices:
             return []
-        for end, (size, where) in self.automaton.iter(text):
+        hits = list(self.automaton.iter(text))
+        # a notice as it stands outdoes every edited one that overlaps it; one that doesn't has a piece of its own elsewhere
+        found = [(end + 1 - size, end + 1, self.labels[notice], 0, size) for end, (size, _, notice) in hits if notice]
+        exact = np.zeros(len(text) + 1, bool) if found else None
+        for a, b, *_ in found:
+            exact[a:b] = True
+        done = [0] * len(self.notices)
+        for end, (size, where, _) in hits:
+            if exact is not None and exact[end + 1 - size : end + 1].any():
+                continue
             for at, offset in where:
                 notice, label = self.notices[at]
                 e = edits(notice)
@@ -87,13 +97,18 @@ class Search:
 
 
 def _least_edited(found: list) -> list:
-    """Of overlapping spans the best; in the order of their places."""
+    """Of overlapping spans with edits the best, and none that overlaps one without; in the order of their places."""
+    exact = sorted(x[:2] for x in found if not x[3])
+    starts, ends = [a for a, _ in exact], list(accumulate((b for _, b in exact), max))
     kept: list = []
-    for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[0])):
+    for x in sorted((x for x in found if x[3]), key=lambda x: (x[3] / x[4], -x[4], x[0])):
+        at = bisect_left(starts, x[1])
+        if at and ends[at - 1] > x[0]:
+            continue
         at = bisect_right(kept, x[:2])
         if not (at and kept[at - 1][1] > x[0] or at < len(kept) and kept[at][0] < x[1]):
             kept.insert(at, x)
-    return kept
+    return sorted(kept + [x for x in found if not x[3]])
 
 
 def scan_text(text: bytes | None, search: Search) -> tuple:
