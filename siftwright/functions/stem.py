@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -68,12 +69,18 @@ def stem(w: str) -> str:
     return "y" + w[1:] if first_y else w
 
 
+@lru_cache(1 << 17)
+def fold(w: str) -> str:
+    """Letters without their marks: é as e."""
+    return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+
+
 def _stems(batches):
-    for b in batches:
-        lists = [[stem(w) for w in ws] for ws in b.column(1).to_pylist()]
+    for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+        lists = [[stem(fold(w)) for w in ws] for ws in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.string()))], names=["id", "stems"])
 
 
 def stems(words: DataFrame, id_col: str, words_col: str) -> DataFrame:
-    """(id, stems) of word arrays."""
+    """(id, stems) of word arrays, letters folded before."""
     return words.select(F.col(id_col).cast("long").alias("id"), F.coalesce(words_col, F.array().cast("array<string>"))).mapInArrow(_stems, "id long, stems array<string>")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions.text import base_name, dir_name, identifier_parts, token_estimate
-from siftwright.operators.ranking import top_per_group
+from siftwright.operators.ranking import pack_stop, running, top_per_group
 
 # ---- path classes, boosts, filters
 
@@ -56,16 +56,20 @@ def symbol_name_ok(name: Column, deny: tuple[str, ...] = ("main", "init", "test"
     return F.length(name).between(4, 80) & ~F.lower(name).isin(*deny) & name.rlike("[A-Z_]")
 
 
-def wiring_query(query: Column, words: tuple[str, ...] = ("wire", "wiring", "register", "inject", "middleware", "route", "hook", "plugin", "bootstrap", "lifecycle", "why", "decision", "architecture")) -> Column:
+#: What tells a question about how things are put together, which no single definition answers.
+WIRING = ("wire", "wiring", "register", "registration", "inject", "autowire", "bean", "annotat", "interceptor", "decorator", "middleware", "provider", "binding", "bound to", "@component", "@service", "@repository", "route", "hook", "plugin", "bootstrap", "lifecycle", "why", "decision", "architecture", "convention")
+
+
+def wiring_query(query: Column, words: tuple[str, ...] = WIRING) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(query), w))
 
 
 def relative_rank(files: DataFrame, rank: str, key: str) -> DataFrame:
     """Adds ``shown``: the rank, or the place in order where ranks hardly differ and there are more than five."""
-    every = Window.partitionBy()
-    flat = (F.max(rank).over(every) - F.min(rank).over(every) < 0.05) & (F.count("*").over(every) > 5)
-    place = F.row_number().over(Window.orderBy(F.col(rank).desc(), key))
-    return files.withColumn("shown", F.when(flat, F.concat(F.lit("#"), place.cast("string"))).otherwise(F.format_number(F.col(rank), 3)))
+    flat = files.agg(((F.max(rank) - F.min(rank) < 0.05) & (F.count("*") > 5)).alias("__flat"))
+    placed = running(files, [], [F.col(rank).desc(), F.col(key)], F.lit(1), "__place").join(F.broadcast(flat))
+    shown = F.when(F.col("__flat"), F.concat(F.lit("#"), F.col("__place").cast("string"))).otherwise(F.format_number(F.col(rank), 3))
+    return placed.withColumn("shown", shown).drop("__flat", "__place")
 
 
 def trend(history: DataFrame, at: str, score: str, last: int = 5) -> DataFrame:
@@ -148,17 +152,21 @@ def critique(answer_symbols: DataFrame, known: DataFrame, cited: DataFrame, hubs
     return row.select(broken_n.alias("broken"), "unknown", "missed_hubs", verdict.alias("verdict"))
 
 
-def recall(lanes: DataFrame, memories: DataFrame, age_days: Column, limit: int, pinned: DataFrame | None = None) -> DataFrame:
-    """Fused memories by recency and confidence; pinned ones follow at 1.0, unfiltered and in their own order.
+def recall(lanes: DataFrame, memories: DataFrame, age_days: Column, limit: int, pinned: DataFrame | None = None, where: Column | None = None, include_stale: bool = True, workspace: DataFrame | None = None) -> DataFrame:
+    """Fused memories by recency and confidence; pinned ones follow at 1.0, unfiltered and in their own order, then those of the workspace at 0.5.
 
-    lanes(id, score) fused before; memories(id, confidence, invalidated_at, ...).
+    lanes(id, score) fused before; memories(id, confidence, invalidated_at, ...) with ``is_stale`` unless stale ones count;
+    ``where`` filters by category or kind. Ids of the workspace are of their own and negated here.
     """
     live = lanes.join(memories.where("invalidated_at IS NULL"), "id")
-    ranked = live.withColumn("final", F.col("score") * F.col("confidence") / (1 + age_days * 0.01)).orderBy(F.col("final").desc(), "id").limit(limit).select("id", "final", F.lit(False).alias("pinned"))
-    if pinned is None:
-        return ranked
-    extra = pinned.select("id").join(ranked, "id", "left_anti").select("id", F.lit(1.0).alias("final"), F.lit(True).alias("pinned"))
-    return ranked.unionByName(extra)
+    live = live if where is None else live.where(where)
+    live = live if include_stale else live.where("NOT is_stale")
+    out = live.withColumn("final", F.col("score") * F.col("confidence") / (1 + age_days * 0.01)).orderBy(F.col("final").desc(), "id").limit(limit).select("id", "final", F.lit(False).alias("pinned"))
+    if pinned is not None:
+        out = out.unionByName(pinned.select("id").join(out, "id", "left_anti").select("id", F.lit(1.0).alias("final"), F.lit(True).alias("pinned")))
+    if workspace is not None:
+        out = out.unionByName(workspace.select((-F.col("id")).alias("id"), F.lit(0.5).alias("final"), F.lit(False).alias("pinned")))
+    return out
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:
@@ -178,7 +186,8 @@ def candidate_pool(fts: DataFrame, chunks: DataFrame, files: DataFrame, cap: int
     base = fts.select("id").union(siblings).distinct()
     more = chunks.join(best, "file", "left_semi").join(base, "id", "left_anti").select("id").orderBy("id")
     n = base.agg(F.count("*").alias("n"))
-    place = more.withColumn("i", F.row_number().over(Window.orderBy("id"))).where(F.col("i") <= cap)
+    # the first ``cap`` rows are one task's work; each task hands on no more than that
+    place = more.orderBy("id").limit(cap).withColumn("i", F.row_number().over(Window.orderBy("id")))
     return base.union(place.join(F.broadcast(n)).where(F.col("i") + F.col("n") <= cap).select("id"))
 
 
@@ -283,7 +292,7 @@ def scout(items: DataFrame, score: Column, blockers: dict[str, Column]) -> DataF
     found = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in sorted(blockers.items()))), lambda x: x.isNotNull())
     rows = items.withColumn("score", score).withColumn("blockers", F.array_join(found, ","))
     status = F.when(F.size(F.split("blockers", ",")) >= 2, "rejected").when(F.col("blockers") != "", "needs_review").when(F.col("score") < 40, "rejected").otherwise("briefed")
-    return rows.withColumn("status", status).withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+    return running(rows.withColumn("status", status), [], [F.col("score").desc(), F.col("id")], F.lit(1), "place")
 
 
 TRANSITIONS = (("opportunity", "new", "approve", "briefed"), ("opportunity", "new", "reject", "rejected"), ("brief", "briefed", "approve", "queued"), ("brief", "briefed", "reject", "rejected"), ("draft", "queued", "publish", "published"), ("draft", "queued", "reject", "rejected"))
@@ -364,12 +373,22 @@ def fallback_vector(text: str, dims: int = 384) -> np.ndarray:
     return v / size if size else v
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
-    """(id, vector) by fallback_vector over Arrow batches; a model-backed embedder has the same shape."""
+#: Makes, on a worker, what turns a list of texts into a list of vectors of one length: a model is loaded there once.
+Provider = Callable[[], Callable[[list[str | None]], list[np.ndarray]]]
+
+
+def fallback_provider(dims: int = 384) -> Provider:
+    return lambda: lambda texts: [fallback_vector(t, dims) for t in texts]
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, dims: int = 384, provider: Provider | None = None, rows: int = 64) -> DataFrame:
+    """(id, vector) of every text over Arrow batches, ``rows`` texts at a time, by a provider of vectors or, without one, by fallback_vector."""
+    make = provider or fallback_provider(dims)
 
     def run(batches):
-        for b in batches:
-            vectors = [fallback_vector(t, dims).astype(np.float32) for t in b.column(1).to_pylist()]
+        vectors_of = make()
+        for b in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
+            vectors = [np.asarray(v, np.float32) for v in vectors_of(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "vector"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, vector array<float>")
@@ -395,8 +414,7 @@ def overview(chunks: DataFrame, files: DataFrame, per_file: int = 40, budget: in
     """Files in rank order with their first symbols while the token budget lasts. chunks(file, line, name), files(file, rank)."""
     first = top_per_group(chunks, ["file"], [F.col("line")], per_file).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "name"))), lambda s: s["name"]), ",").alias("symbols"))
     rows = files.join(first, "file").withColumn("cost", token_estimate(F.col("symbols")) + 10)
-    run = F.sum("cost").over(Window.orderBy(F.col("rank").desc(), "file").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", run).where(F.col("used") <= budget)
+    return pack_stop(rows, [], [F.col("rank").desc(), F.col("file")], "cost", budget)
 
 
 SYNONYMS = {"auth": ("login", "session", "token"), "db": ("database", "sql", "store"), "cache": ("memo", "lru"), "test": ("spec",), "config": ("settings", "options"), "error": ("exception", "failure"), "delete": ("remove", "drop"), "fetch": ("get", "load", "read")}

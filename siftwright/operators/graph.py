@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Steps of a loop between two tables that end its lineage.
@@ -77,18 +77,24 @@ def label_propagation(edges: DataFrame, iterations: int = 20) -> DataFrame:
     """(id, label) by weighted votes of the neighbours, until no node would change its label.
 
     A node keeps its label where no other has more votes, else takes the strongest, of equals the smallest. As
-    neighbours that change together would swap labels for ever, only about half of the nodes may move in a
-    step, by a hash of node and step: what settles is what updates in place, one node after the other, leave
-    as it is. ``iterations`` counts moves of every node, so there are twice as many steps at most.
+    neighbours that change together would swap labels for ever, each of the ``iterations`` moves about half of the nodes, by a
+    hash of node and round, and then the others: what settles is what updates in place, one node after the
+    other, leave as it is.
     """
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).where("src <> dst AND weight > 0")
     both = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for turn in range(2 * iterations):
+
+    def voted(labels: DataFrame) -> DataFrame:
+        """(id, old, best): each node's label and the one that it would take."""
         votes = both.join(labels, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id"), F.col("label").alias("vote")).agg(F.round(F.sum("weight"), 9).alias("w"))
-        voted = votes.join(labels, "id").groupBy("id").agg(F.first("label").alias("old"), F.max_by("vote", F.struct("w", (F.col("vote") == F.col("label")).alias("own"), -F.col("vote"))).alias("best"))
-        may = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn)))) % 2 == 0
-        step = cut(voted.select("id", F.when(may, F.col("best")).otherwise(F.col("old")).alias("label"), (F.col("best") != F.col("old")).alias("restless")))
+        return votes.join(labels, "id").groupBy("id").agg(F.first("label").alias("old"), F.max_by("vote", F.struct("w", (F.col("vote") == F.col("label")).alias("own"), -F.col("vote"))).alias("best"))
+
+    for turn in range(iterations):
+        early = F.crc32(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(turn)))) % 2 == 0
+        half = voted(labels).select("id", F.when(early, F.col("best")).otherwise(F.col("old")).alias("label"), (F.col("best") != F.col("old")).alias("restless"))
+        rest = voted(half.select("id", "label")).select("id", F.when(early, F.col("old")).otherwise(F.col("best")).alias("new"))
+        step = cut(half.join(rest, "id").select("id", F.col("new").alias("label"), "restless"))
         labels = step.select("id", "label")
         if step.where("restless").isEmpty():
             break
@@ -112,7 +118,9 @@ def clusters(nodes: DataFrame, edges: DataFrame, iterations: int = 20, least: in
     final = labels.join(moves, F.col("label") == F.col("small"), "left").select("id", F.coalesce("large", "label").alias("label"))
     ranked = final.join(nodes.select("id", "rank"), "id", "left")
     sums = ranked.groupBy("label").agg(F.count("*").alias("size"), F.sum("rank").alias("total"), F.max_by("id", F.struct("rank", -F.col("id"))).alias("hub"))
-    numbered = sums.withColumn("cluster", F.row_number().over(Window.orderBy(F.col("total").desc(), "label")))
+    from siftwright.operators.ranking import running
+
+    numbered = running(sums, [], [F.col("total").desc(), F.col("label")], F.lit(1), "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     return final.join(numbered, "label").select("id", "cluster", "size", "total", "hub")
 
 

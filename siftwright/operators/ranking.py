@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,26 @@ def top_decile(df: DataFrame, score: str, share: float = 0.1) -> DataFrame:
     return rows.where(F.col("upto") > F.col("place")).agg(F.max(score).alias("threshold"), F.max("all").alias("n"))
 
 
+def running(df: DataFrame, group: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """Adds the sum of ``amount`` over each group's rows up to and with a row, in ``order`` (a total one).
+
+    Rows are dealt out by range of group and order, so a hot group lies in as many tasks as it needs; the sums
+    of the ranges, a row for each range and group, say what goes before. With ``F.lit(1)`` it's the row's place.
+    """
+    from siftwright.operators.graph import cut
+
+    keys = [F.col(g) for g in group]
+    dealt = cut(df.withColumn("__amount", amount).repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part", *group).agg(F.sum("__amount").alias("__sum"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part")
+    offsets = sums.select(F.col("__part").alias("__p"), *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), (F.sum("__sum").over(before) - F.col("__sum")).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inner = F.sum("__amount").over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(offsets, same).withColumn(name, F.col("__before") + inner).select(*df.columns, name)
+
+
 def pack_skip(df: DataFrame, group: list[str], order: list[Column], cost: str, id_col: str, budget: int) -> DataFrame:
     """Greedy packing: rows in order, a row that doesn't fit is skipped and later ones may still fit.
 
@@ -95,9 +117,8 @@ def pack_skip(df: DataFrame, group: list[str], order: list[Column], cost: str, i
 
 
 def pack_stop(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
-    """Rows in order until the first that overflows the budget."""
-    run = F.sum(cost).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", run).where(F.col("used") <= budget)
+    """Rows in order until the first that overflows the budget; costs aren't negative."""
+    return running(df, group, order, F.col(cost), "used").where(F.col("used") <= budget)
 
 
 def confidence(scores: DataFrame, group: list[str], score: str, wiring: Column | None = None) -> DataFrame:
@@ -113,12 +134,23 @@ def confidence(scores: DataFrame, group: list[str], score: str, wiring: Column |
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, order: list[Column], quantiles: dict[str, float], skip: int = 1) -> DataFrame:
-    """sorted[floor(n * q)] for each quantile after dropping the first ``skip`` rows in ``order``."""
-    kept = df.withColumn("__i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__i") > skip)
-    at = Window.partitionBy(*group).orderBy(value, "__i")
-    ranked = kept.withColumn("__r", F.row_number().over(at) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-    pick = [F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * q), F.col("__n") - 1), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), *pick)
+    """sorted[floor(n * q)] for each quantile after dropping the first ``skip`` rows in ``order``.
+
+    Equal values are counted first; the running counts of the values tell where each quantile falls.
+    """
+    first = top_per_group(df.select(*group, value, *(o.alias(f"__o{i}") for i, o in enumerate(order))), group, [F.col(f"__o{i}") for i in range(len(order))], skip, "__i").groupBy(*group, value).agg(F.count("*").alias("__skipped"))
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    same = (F.col(value).eqNullSafe(F.col("__v")),)
+    skipped = first.select(*(F.col(g).alias(f"__s{i}") for i, g in enumerate(group)), F.col(value).alias("__v"), "__skipped")
+    for i, g in enumerate(group):
+        same = (*same, F.col(g).eqNullSafe(F.col(f"__s{i}")))
+    left = counts.join(skipped, reduce(lambda a, b: a & b, same), "left").select(*group, value, (F.col("__n") - F.coalesce("__skipped", F.lit(0))).alias("__n")).where("__n > 0")
+    placed = running(left, group, [F.col(value)], F.col("__n"), "__upto")
+    total = placed.groupBy(*group).agg(F.sum("__n").alias("n"))
+    sized = placed.join(total.select(*(F.col(g).alias(f"__t{i}") for i, g in enumerate(group)), "n"), reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__t{i}")) for i, g in enumerate(group)), F.lit(True)))
+    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+    pick = [F.min(F.when(F.col("__upto") > at(q), F.col(value))).alias(name) for name, q in quantiles.items()]
+    return sized.groupBy(*group, "n").agg(*pick)
 
 
 def match_quality(name: Column, query: str) -> Column:

@@ -150,9 +150,22 @@ def similar_sets(rows: DataFrame, id_col: str, members: str, least: float) -> Da
     return sets.join(total, "print", "left").select(F.col("id").alias(id_col), F.when(F.col("set").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
-    """The value of the interval with the latest start that holds each point; points without one keep null."""
-    hit = points.join(intervals, key, "left").withColumn("__in", (F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
+#: Places of a bucket in which intervals and points meet.
+BUCKET = 64
+
+
+def _spread(df: DataFrame, start: str, end: str, name: str, width: int) -> DataFrame:
+    """A row for each bucket that an interval touches; an interval that ends before it starts touches none."""
+    return df.where(F.col(end) >= F.col(start)).withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+
+
+def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, width: int = BUCKET) -> DataFrame:
+    """The value of the interval with the latest start that holds each point; points without one keep null.
+
+    Points meet the intervals of their own bucket of ``width`` places, not all of their key.
+    """
+    there = _spread(intervals, start, end, "__b", width)
+    hit = points.withColumn("__b", F.floor(F.col(at) / width)).join(there, [key, "__b"], "left").withColumn("__in", (F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
     return hit.groupBy(key, at).agg(F.max_by(F.when(F.col("__in"), F.col(value)), F.when(F.col("__in"), F.col(start))).alias(value))
 
 
@@ -167,12 +180,22 @@ def within(found: DataFrame, expected: DataFrame, key: str, a: str, b: str, tole
     return left.join(right, [key, "__b"]).where(F.abs(F.col(a) - F.col(b)) <= tolerance).drop("__b")
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
-    """Pairs of one key whose spans share a place; both ends count."""
-    return a.join(b, key).where((F.col(a_span[1]) >= F.col(b_span[0])) & (F.col(a_span[0]) <= F.col(b_span[1])))
+def overlaps(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str], width: int = BUCKET) -> DataFrame:
+    """Pairs of one key whose spans share a place; both ends count.
+
+    Spans meet in the buckets of ``width`` places that both touch; a pair counts in the first of those.
+    """
+    left, right = _spread(a, *a_span, "__b", width), _spread(b, *b_span, "__b", width)
+    first = F.greatest(F.floor(F.col(a_span[0]) / width), F.floor(F.col(b_span[0]) / width))
+    meet = (F.col(a_span[1]) >= F.col(b_span[0])) & (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col("__b") == first)
+    return left.join(right, [key, "__b"]).where(meet).drop("__b")
+
 
+#: What an import may leave out of a path, in the order in which it's tried.
+SUFFIXES = ("", ".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json", ".py", ".rb", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.vue", "/__init__.py")
 
-def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")) -> DataFrame:
+
+def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(source, spec, target): relative imports against known paths, the first candidate that exists.
 
     imports(source, spec), files(path). ``spec`` is relative to the directory of ``source``; '.' and '..' are
@@ -206,3 +229,17 @@ def related_tests(files: DataFrame) -> DataFrame:
     tests = files.select(F.col("path").alias("test"), tested.alias("key")).where("key IS NOT NULL")
     sources = files.select(F.col("path").alias("source"), stem.alias("key"), tested.isNull().alias("plain")).where("plain").drop("plain")
     return sources.join(tests, "key").select("source", "test")
+
+
+def test_map(changed: DataFrame, files: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
+    """(source, test, how): tests of changed files(path), by name (any folder) or else because they import the file.
+
+    files(path), edges(src, dst); a file without any test has one row with nulls. ``is_test`` is over ``path``.
+    """
+    asked = changed.select("path").distinct()
+    named = related_tests(files).join(asked.withColumnRenamed("path", "source"), "source", "left_semi").withColumn("how", F.lit("name"))
+    tests = files.where(is_test).select(F.col("path").alias("src"))
+    imported = edges.join(tests, "src", "left_semi").join(asked.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("dst").alias("source"), F.col("src").alias("test")).distinct()
+    imported = imported.join(named, ["source", "test"], "left_anti").withColumn("how", F.lit("import"))
+    found = named.unionByName(imported)
+    return asked.withColumnRenamed("path", "source").join(found, "source", "left").select("source", "test", "how")

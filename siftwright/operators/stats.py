@@ -21,12 +21,10 @@ def daily(events: DataFrame, ts: str, user: str, error: Column, days: int | None
 
 def breakdown(events: DataFrame, dims: list[str], user: str) -> DataFrame:
     """(dim, value, events, users) for each dimension alone, by one pass with grouping sets."""
-    events.select(*dims, user).createOrReplaceTempView("__siftwright_events")
-    names = ", ".join(f"`{d}`" for d in dims)
-    which = " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dims)
-    values = ", ".join(f"CASE WHEN grouping(`{d}`) = 0 THEN CAST(`{d}` AS STRING) END" for d in dims)
-    sets = ", ".join(f"(`{d}`)" for d in dims)
-    return events.sparkSession.sql(f"SELECT CASE {which} END AS dim, coalesce({values}) AS value, count(*) AS events, count(DISTINCT `{user}`) AS users FROM __siftwright_events GROUP BY {names} GROUPING SETS ({sets})")
+    which = F.coalesce(*(F.when(F.grouping(d) == 0, F.lit(d)) for d in dims))
+    value = F.coalesce(*(F.when(F.grouping(d) == 0, F.col(d).cast("string")) for d in dims))
+    sets = [[F.col(d)] for d in dims]
+    return events.groupingSets(sets, *(F.col(d) for d in dims)).agg(which.alias("dim"), value.alias("value"), F.count("*").alias("events"), F.count_distinct(user).alias("users")).select("dim", "value", "events", "users")
 
 
 def by_hour(events: DataFrame, ts: str) -> DataFrame:
@@ -47,6 +45,12 @@ def tool_stats(calls: DataFrame, tool: str, ts: str, error: Column, value: str)
     return calls.groupBy(tool).agg(F.count("*").alias("calls"), F.sum(1 - bad).alias("ok"), F.sum(bad).alias("errors"), F.max(ts).alias("last_call"), F.max(F.when(error, F.col(ts))).alias("last_error"), F.sum(value).alias("total"))
 
 
+def error_codes(calls: DataFrame, tool: str, error: Column, code: str) -> DataFrame:
+    """(tool, codes): for each tool a map of its error codes and how often they came."""
+    counts = calls.where(error).groupBy(tool, F.coalesce(code, F.lit("error")).alias("code")).agg(F.count("*").alias("n"))
+    return counts.groupBy(tool).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "n")))).alias("codes"))
+
+
 def profile_coverage(calls: DataFrame, tool: str, profiles: DataFrame, enough: float = 0.95, fallback: float = 0.7) -> DataFrame:
     """(profile, tools, covered, coverage, recommended): the smallest profile that covers enough calls, else the best.
 
@@ -67,6 +71,16 @@ def receipt(messages: DataFrame, tokens_in: Column, tokens_out: Column, cached:
     return sums.withColumn("cost", (F.col("tokens_in") * price_in + F.col("tokens_cached") * price_in * 0.1 + F.col("tokens_out") * price_out) / 1e6)
 
 
+def tool_receipt(results: DataFrame, tool: str, size: Column, session: str) -> DataFrame:
+    """Per tool: calls, bytes of results, the largest result and the session that it came in."""
+    return results.groupBy(tool).agg(F.count("*").alias("calls"), F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.max_by(session, F.struct(size.alias("s"), -F.col(session))).alias("largest_in"))
+
+
+def yearly(cost: Column, days: Column) -> Column:
+    """What a cost over some days comes to in a year."""
+    return cost / F.greatest(days, F.lit(1)) * 365
+
+
 def set_scores(found: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
     """(key, precision, recall, f1) of sets; nothing found and nothing expected is a perfect score."""
     a = found.select(key, value).distinct().withColumn("f", F.lit(1))

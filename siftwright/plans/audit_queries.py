@@ -61,7 +61,7 @@ def candidate_pool(t):
 
 @query("SELECT doc_id, array_to_string(list_sort(list_filter([CASE WHEN regexp_matches(text, '(?i)(you won''t believe|must read|\\bshocking\\b)') THEN 'bait' END, CASE WHEN regexp_matches(text, '(?i)\\b(giveaway|crypto|casino)\\b') THEN 'blocked_topic' END, CASE WHEN regexp_matches(text, 'https?://') THEN 'link' END, CASE WHEN regexp_matches(text, '(?i)\\b(best|fastest|only|guaranteed)\\b') THEN 'unsupported_claim' END], lambda x: x IS NOT NULL)), ',') AS failed FROM documents")
 def content_gates(t):
-    return audit.content_gates(t.documents.select("doc_id", "text"), "text").select("doc_id", "failed")
+    return audit.content_gates(t.texts("documents").select("doc_id", "text"), "text").select("doc_id", "failed")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS diff, count(*) FILTER (WHERE event_type = 'click') AS trace, count(*) FILTER (WHERE event_type = 'purchase') AS mem FROM r WHERE k <= 10 GROUP BY 1)
@@ -124,11 +124,11 @@ def first_seen(t):
 @query()
 def fallback_vectors(t):
     """Deterministic vectors of all texts without a model: compared with a plain loop in the tests."""
-    return audit.embed(t.documents, "doc_id", "text")
+    return audit.embed(t.texts("documents"), "doc_id", "text")
 
 
 @query()
 def doc_mentions(t):
     """Known words in prose: compared with a plain loop in the tests."""
     known = t.documents.select(F.explode(F.split("source", ",")).alias("symbol")).distinct().unionByName(t.spark.createDataFrame([("the",), ("that",)], "symbol string"))
-    return code.doc_mentions(t.documents, "doc_id", F.col("text"), known)
+    return code.doc_mentions(t.texts("documents"), "doc_id", F.col("text"), known)

@@ -19,6 +19,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose texts are worked through: dealt over all cores where the scan alone has fewer tasks than those.
+
+        A file of one row group is read by one task, however large its texts; many files need no exchange.
+        """
+        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+
 
 def query(sql: str | None = None):
     """Register a function of Tables under its own name."""

@@ -276,7 +276,7 @@ l AS (SELECT a AS class_id, sum(n) AS others FROM p WHERE c >= 0.7 * (k - c) - 1
 SELECT doc_id, class_id, (CASE WHEN len(w) = 0 THEN 0 ELSE n - 1 + coalesce(others, 0) END)::BIGINT AS links FROM d JOIN c USING (w) LEFT JOIN l USING (class_id)""")
 def jaccard_docs(t):
     """Documents whose word sets have a similarity of 0.7 or more: a class of equal sets and the number of links of each document."""
-    return relational.similar_sets(t.documents.select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", "w", 0.7)
+    return relational.similar_sets(t.texts("documents").select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", "w", 0.7)
 
 
 @query("WITH f AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_quantity > 45), e AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem WHERE l_discount >= 0.05), s AS (SELECT coalesce(f.k, e.k) AS k, count(f.v) AS found, count(e.v) AS expected, count(*) FILTER (WHERE f.v IS NOT NULL AND e.v IS NOT NULL) AS hit FROM f FULL JOIN e ON f.k = e.k AND f.v = e.v GROUP BY 1), r AS (SELECT *, CASE WHEN found = 0 THEN CASE WHEN expected = 0 THEN 1.0 ELSE 0.0 END ELSE hit / found::DOUBLE END AS p, CASE WHEN expected = 0 THEN 1.0 ELSE hit / expected::DOUBLE END AS r FROM s) SELECT k, found, expected, hit, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM r")
@@ -330,7 +330,7 @@ def journal_replay(t):
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 def content_hashes(t):
-    return t.documents.select("doc_id", content_hash(F.col("text")).alias("hash"))
+    return t.texts("documents").select("doc_id", content_hash(F.col("text")).alias("hash"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), d AS (SELECT *, string_split(path, '/') AS w FROM p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import audit, investigate, memory, review
+from siftwright.operators import audit, investigate, memory, review, stats
 from siftwright.plans.registry import query
 from siftwright.plans.search_queries import _FUSED, _bm25, _vec
 
@@ -221,3 +221,20 @@ def content_queue(t):
     drafts = t.documents.select(F.col("doc_id").alias("id"), "text")
     approved = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
     return audit.content_queue(drafts, approved, "text").select(F.col("id").alias("doc_id"), "ready")
+
+
+@query("SELECT event_type, array_to_string(list_sort(list(code || '=' || n)), ',') AS codes FROM (SELECT event_type, 'e' || (event_id % 4) AS code, count(*) AS n FROM events WHERE value < 10 GROUP BY 1, 2) GROUP BY 1")
+def tool_codes(t):
+    rows = t.events.withColumn("code", F.concat(F.lit("e"), (F.col("event_id") % 4).cast("string")))
+    codes = stats.error_codes(rows, "event_type", F.col("value") < 10, "code")
+    return codes.select("event_type", F.array_join(F.sort_array(F.transform(F.map_entries("codes"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("codes"))
+
+
+@query("SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS bytes, max(length(text))::INT AS largest, arg_max(conv_id, length(text) * 1000000 - conv_id) AS largest_in FROM conversations GROUP BY 1")
+def tool_receipts(t):
+    return stats.tool_receipt(t.conversations, "role", F.length("text"), "conv_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN b THEN '#' || r ELSE printf('%.3f', s) END AS shown FROM (SELECT o_orderkey, o_totalprice / 1e9 AS s, row_number() OVER (ORDER BY o_totalprice / 1e9 DESC, o_orderkey) AS r, max(o_totalprice / 1e9) OVER () - min(o_totalprice / 1e9) OVER () < 0.05 AND count(*) OVER () > 5 AS b FROM orders)")
+def shown_ranks(t):
+    return audit.relative_rank(t.orders.select("o_orderkey", (F.col("o_totalprice") / 1e9).alias("s")), "s", "o_orderkey").select("o_orderkey", "shown")

@@ -22,7 +22,7 @@ _VEC = "vec AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], (
 
 
 def _bm25(t, k):
-    return search.bm25(t.documents, "doc_id", F.col("text"), TERMS, k)
+    return search.bm25(t.texts("documents"), "doc_id", F.col("text"), TERMS, k)
 
 
 def _vec(t, k):
@@ -38,7 +38,7 @@ def bm25_topk(t):
 @query(f"WITH {_BM25} SELECT 1 AS q, doc_id AS id, round(score, 6) AS score FROM bm")
 def bm25_index(t):
     asked = t.spark.createDataFrame([(1, " ".join(TERMS))], "q int, body string")
-    return search.bm25_batch(t.documents, asked, "doc_id", F.col("text"), "q", F.col("body")).withColumn("score", F.round("score", 6))
+    return search.bm25_batch(t.texts("documents"), asked, "doc_id", F.col("text"), "q", F.col("body")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_VEC} SELECT doc_id AS vec_id, round(score, 6) AS score FROM vec WHERE score >= 0 ORDER BY vec.score DESC, doc_id LIMIT 20")
@@ -119,19 +119,19 @@ SELECT doc_id AS id, round(sum(w / (60 + r)::DOUBLE), 6) AS score, string_agg(la
 def investigate_lanes(t):
     path = t.documents.where("source = 'src1'").orderBy(F.col("n_chars").desc(), "doc_id").limit(16).select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
     n = F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike("(?<![A-Za-z0-9_])of(?![A-Za-z0-9_])")))
-    refs = t.documents.select(F.col("doc_id").alias("id"), n.cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(30).where("score > 0")
+    refs = t.texts("documents").select(F.col("doc_id").alias("id"), n.cast("double").alias("score")).orderBy(F.col("score").desc(), "id").limit(30).where("score > 0")
     lanes = {"fts": _bm25(t, 50), "vector": _vec(t, 50), "path": path, "refs": refs}
     return ranking.rrf(lanes, "id", weights={"path": 2.0}).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT id, line, content FROM (SELECT doc_id AS id, i AS line, l AS content, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents) WHERE regexp_matches(l, '\\bthat\\b')) WHERE r <= 8")
 def line_explode(t):
-    return search.find_references(t.documents, "doc_id", F.col("text"), "that")
+    return search.find_references(t.texts("documents"), "doc_id", F.col("text"), "that")
 
 
 @query("WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, ls, unnest(generate_series(0, (len(ls) - 1) // 5)) AS chunk FROM d) SELECT doc_id AS id, chunk::INT AS chunk, (chunk * 5 + 1)::INT AS start_line, least(chunk * 5 + 5, len(ls))::INT AS end_line, array_to_string(ls[chunk * 5 + 1 : chunk * 5 + 5], chr(10)) AS content FROM c")
 def chunk_windows(t):
-    return code.chunk_windows(t.documents, "doc_id", F.col("text"), 5)
+    return code.chunk_windows(t.texts("documents"), "doc_id", F.col("text"), 5)
 
 
 _LINES = "l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents)"
@@ -141,7 +141,7 @@ _PATTERNS = " UNION ALL ".join("SELECT '{}' AS pattern, '{}' AS severity, '{}' A
 
 @query(f"WITH {_LINES}, p AS ({_PATTERNS}) SELECT id, line, pattern, severity FROM l, p WHERE regexp_matches(content, re) AND NOT regexp_matches(content, '^\\s*(//|#|\\*)') AND NOT (pattern = 'hardcoded_secret' AND regexp_matches(content, '{_SAMPLE}'))")
 def secret_scan(t):
-    return code.security_scan(t.documents, "doc_id", F.col("text"))
+    return code.security_scan(t.texts("documents"), "doc_id", F.col("text"))
 
 
 _PAGE_LINES = _LINES.replace("FROM documents", "FROM (SELECT page_id AS doc_id, html AS text FROM pages)")
@@ -150,7 +150,7 @@ _FORMS = ", ".join("regexp_extract_all(code, '{}', 1)".format(p.replace("'", "''
 
 @query(f"WITH {_PAGE_LINES}, c AS (SELECT id, line, regexp_replace(regexp_replace(regexp_replace(content, '\"[^\"]*\"|''[^'']*''|`[^`]*`', '', 'g'), '//.*|#.*|--.*', '', 'g'), '(^|[^A-Za-z0-9_])(class|interface|enum|record)\\s+[A-Za-z_][A-Za-z0-9_]*', '', 'g') AS code FROM l), n AS (SELECT DISTINCT id, line, unnest(flatten([{_FORMS}])) AS name FROM c) SELECT id, line, name FROM n WHERE name NOT IN ({', '.join(repr(w) for w in (*code.NOT_CALLS, *code.COMMON_NAMES))})")
 def call_refs(t):
-    return code.call_references(t.pages, "page_id", F.col("html"))
+    return code.call_references(t.texts("pages"), "page_id", F.col("html"))
 
 
 _A, _B = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -163,12 +163,12 @@ f AS (SELECT *, CASE WHEN role = 'user' THEN 0.7 ELSE 0.6 END::DOUBLE AS confide
 b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY confidence DESC, length(text), conv_id, turn) AS r FROM f)
 SELECT conv_id, turn, role, confidence, length(text)::INT AS n_chars FROM b WHERE r = 1 ORDER BY confidence DESC, length(text), conv_id, turn LIMIT 50""")
 def chat_decisions(t):
-    return code.mine_chat(t.conversations, "conv_id", "turn", "role", "text", _WANTED, "^```")
+    return code.mine_chat(t.texts("conversations"), "conv_id", "turn", "role", "text", _WANTED, "^```")
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))::INT AS n_tokens FROM documents")
 def token_counts(t):
-    return t.documents.select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
+    return t.texts("documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
 
 
 def _edges(t):

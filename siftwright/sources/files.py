@@ -16,7 +16,14 @@ LANGUAGES = {
     "zig": "zig", "hs": "haskell", "clj": "clojure", "ml": "ocaml", "md": "markdown", "ipynb": "notebook", "vue": "vue",
 }
 MAX_BYTES = 1_000_000
-DEFAULT_IGNORE = ("node_modules/", ".git/", "dist/", "build/", "target/", "vendor/", "__pycache__/", ".venv/", "coverage/", "*.min.js", "*.lock", "*.map")
+#: Folders and files that hold no source of their own.
+DEFAULT_IGNORE = (
+    *(f"{d}/" for d in "node_modules .git .hg .svn dist build out target vendor Pods .gradle .next .nuxt .svelte-kit __pycache__ .pytest_cache .mypy_cache .tox .venv venv env .cache coverage".split()),
+    *("*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".env", ".DS_Store", "Thumbs.db"),
+    *(f"*.{e}" for e in "wasm png jpg jpeg gif ico svg webp woff woff2 ttf eot mp3 mp4 avi mov pdf zip tar gz 7z exe dll so dylib bin dat db sqlite class jar pyc o a".split()),
+)
+#: Files at the root of a tree whose lines are ignore rules, in the order in which they are read.
+IGNORE_FILES = (".gitignore", ".aiderignore", ".siftignore")
 
 
 def glob_regex(pattern: str) -> str:
@@ -59,13 +66,24 @@ def language(path: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), ext)
 
 
+def ignore_rules(spark: SparkSession, root: str) -> list[str]:
+    """The rules in the ignore files at the root of a tree: at most a few lines, read by the driver."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for name in IGNORE_FILES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        if path.getFileSystem(conf).exists(path):
+            out += [r.value for r in spark.read.text(path.toString()).collect()]
+    return out
+
+
 def listing(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, language, mtime, size) of the source files below a folder. Contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}/') + {len(root.rstrip('/')) + 1})")
     rows = files.select(rel.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & (F.col("size") <= max_bytes))
-    return rows.where(~ignored(F.col("path"), [*DEFAULT_IGNORE, *(ignore or [])])).select("path", "language", "mtime", "size")
+    return rows.where(~ignored(F.col("path"), [*DEFAULT_IGNORE, *ignore_rules(spark, root), *(ignore or [])])).select("path", "language", "mtime", "size")
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:

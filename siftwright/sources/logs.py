@@ -64,6 +64,24 @@ def export_memories(memories: DataFrame, path: str, by: str = "category") -> Non
     memories.write.mode("overwrite").partitionBy(by).json(path)
 
 
+def import_memories(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What export_memories has written, by the schema of the memories."""
+    return spark.read.schema(schema).json(path)
+
+
+def export_markdown(memories: DataFrame, path: str) -> None:
+    """Memories(id, category, content) as Markdown, a file for each category: a heading and an item for each memory."""
+    item = F.struct("id", F.concat(F.lit("- "), F.regexp_replace("content", "\\s*\\n\\s*", " "), F.lit(" <!-- "), F.col("id").cast("string"), F.lit(" -->")).alias("line"))
+    by = memories.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["line"]), "\n").alias("items"))
+    by.select(F.concat(F.lit("# "), F.col("category"), F.lit("\n\n"), F.col("items")).alias("value"), "category").write.mode("overwrite").partitionBy("category").text(path)
+
+
+def import_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(id, category, content) of what export_markdown has written."""
+    rows = spark.read.text(path)
+    return rows.where(F.col("value").startswith("- ")).select(F.regexp_extract("value", " <!-- (-?\\d+) -->\\z", 1).cast("long").alias("id"), "category", F.regexp_replace(F.substring("value", 3, 1 << 30), " <!-- -?\\d+ -->\\z", "").alias("content"))
+
+
 def keep_last(history: DataFrame, new: DataFrame, at: str, n: int = 100) -> DataFrame:
     """A history with its newest ``n`` rows."""
     return history.unionByName(new).orderBy(F.col(at).desc()).limit(n)

@@ -205,18 +205,41 @@ def parse_notebook(text: str) -> list[tuple]:
     return out
 
 
+#: What makes a value of a component's script reactive.
+_REACTIVE = re.compile(r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(ref|shallowRef|reactive|computed|readonly|toRefs?|defineProps|defineEmits|defineModel|withDefaults|use[A-Z]\w*)\b", re.M)
+_OUTSIDE_MARKUP = re.compile(r"<!--.*?-->|\{\{.*?\}\}|=\s*\"[^\"]*\"|=\s*'[^']*'", re.S)
+
+
+def vue_components(template: str) -> list[str]:
+    """Names of the components that a template uses, in PascalCase; comments, attribute values and interpolations hold none."""
+    tags = re.findall(r"<([A-Z]\w*|[a-z][a-z0-9]*(?:-[a-z0-9]+)+)(?=[\s/>])", _OUTSIDE_MARKUP.sub("", template))
+    return sorted({t if t[0].isupper() else "".join(part.capitalize() for part in t.split("-")) for t in tags})
+
+
 def parse_vue(text: str) -> tuple[list[tuple], list[tuple]]:
-    """Template, script, style and custom blocks; the script's own chunks and imports; components used."""
-    out, imports = [], []
-    for m in re.finditer(r"^<(template|script|style|[a-z][\w-]*)\b([^>]*)>(.*?)^</\1>", text, re.S | re.M):
-        first = text.count("\n", 0, m.start()) + 1
-        out.append(("block", m[1], first, first + m[0].count("\n"), m[0]))
-        if m[1] == "script":
-            chunks, found = parse_code(m[3], "typescript" if "ts" in m[2] else "javascript")
-            out += [(t, n, a + first - 1, b + first - 1, body) for t, n, a, b, body in chunks if t != "block"]
-            imports += found
-        elif m[1] == "template":
-            imports += [(name, name, False) for name in sorted(set(re.findall(r"<([A-Z]\w+|[a-z]+-[\w-]+)\b", m[3])))]
+    """Template, scripts, style and custom blocks; the scripts' own chunks, reactive values and imports; components used.
+
+    A component may have a plain script and one with ``setup``: both give their symbols, that with ``setup`` first.
+    """
+    out, imports, scripts = [], [], []
+    for m in re.finditer(r"^<(template|script|style|[a-z][\w-]*)\b([^>]*)>(.*?)^</\1\s*>", text, re.S | re.M | re.I):
+        tag, first = m[1].lower(), text.count("\n", 0, m.start()) + 1
+        out.append(("block", tag, first, first + m[0].count("\n"), m[0]))
+        if tag == "script":
+            scripts.append((not re.search(r"\bsetup\b", m[2]), first, "typescript" if re.search(r"lang\s*=\s*[\"']tsx?[\"']", m[2], re.I) else "javascript", m[3]))
+        elif tag == "template":
+            imports += [(name, name, False) for name in vue_components(m[3])]
+    for _, first, lang, body in sorted(scripts, key=lambda x: x[:2]):
+        chunks, found = parse_code(body, lang)
+        named = [(t, n, a + first - 1, b + first - 1, part) for t, n, a, b, part in chunks if t != "block"]
+        seen = {n for _, n, *_ in named}
+        lines = body.split("\n")
+        for m in _REACTIVE.finditer(body):
+            if m[1] not in seen:
+                at = body.count("\n", 0, m.start())
+                named.append(("variable", m[1], first + at, first + at, lines[at]))
+        out += named
+        imports += [x for x in found if x not in imports]
     return out, imports
 
 
@@ -306,20 +329,49 @@ def graphql_contracts(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def graphql_uses(text: str) -> list[tuple[str, str]]:
-    """(root field, root type) of each operation in gql`...` or graphql(`...`) texts."""
-    out = []
+_GQL_TOKEN = re.compile(r"\.\.\.\s*on\s+\w+|\.\.\.\s*\w*|[{}]|\((?:[^()]|\([^()]*\))*\)|@\w+|(\w+)\s*:|(\w+)")
+
+
+def graphql_selections(text: str) -> list[tuple[str, str]]:
+    """(path, root type) of every field that the operations in gql`...` or graphql(`...`) texts select, as Query.user.name.
+
+    Aliases give way to the fields that they name; fields of inline fragments belong to the field around them;
+    fragment definitions and spreads of named fragments are left out.
+    """
+    out: list[tuple[str, str]] = []
     for m in re.finditer(r"(?:gql|graphql)\s*\(?\s*`((?:.|\n)*?)`", text):
-        body, depth, root = m[1], 0, None
-        for token in re.finditer(r"(query|mutation|subscription)\b|[{}]|\([^)]*\)|(\w+)\s*:|(\w+)", body):
-            if token[1] and depth == 0:
-                root = token[1].capitalize()
-            elif token[0] == "{":
-                depth += 1
-                root = root or "Query"
-            elif token[0] == "}":
-                depth -= 1
-                root = root if depth else None
-            elif token[3] and depth == 1:
-                out.append((f"{root}.{token[3]}", "endpoint"))
+        body = re.sub(r"#.*|\$\{[^}]*\}", "", m[1])
+        root, stack, last, skip = None, [], None, False
+        for token in _GQL_TOKEN.finditer(body):
+            t = token[0]
+            if t == "{":
+                if not stack:
+                    root = root or "Query"
+                    stack.append(root)
+                else:
+                    # an inline fragment opens its parent again
+                    stack.append(stack[-1] if last is None else f"{stack[-1]}.{last}")
+                last = None
+            elif t == "}":
+                if stack:
+                    stack.pop()
+                last = None
+                if not stack:
+                    root, skip = None, False
+            elif t.startswith("..."):
+                last = None
+            elif token[2] and not stack:
+                if t in ("query", "mutation", "subscription"):
+                    root = t.capitalize()
+                elif t == "fragment":
+                    skip = True
+            elif token[2]:
+                last = t
+                if not skip:
+                    out.append((f"{stack[-1]}.{t}", root))
     return out
+
+
+def graphql_uses(text: str) -> list[tuple[str, str]]:
+    """(root field, kind) of each operation in gql`...` or graphql(`...`) texts."""
+    return [(path, "endpoint") for path, _ in graphql_selections(text) if path.count(".") == 1]

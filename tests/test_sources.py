@@ -60,3 +60,45 @@ def test_notebook_and_vue():
     chunks, imports = parsers.parse_vue("<template>\n<MyPart/>\n</template>\n<script>\nimport a from './a'\nfunction f() {\n}\n</script>\n")
     assert ("function", "f") in [(t, n) for t, n, *_ in chunks]
     assert {s for s, _, _ in imports} == {"MyPart", "./a"}
+
+
+def test_vue_scripts_components_and_reactive_values():
+    text = """<template>
+  <!-- <Ghost/> -->
+  <user-card :title="'<Quoted/>'"/> {{ '<Inner/>' }}
+  <BaseButton>go</BaseButton>
+  <p>plain</p>
+</template>
+
+<script>
+export default { name: 'x' }
+function legacy() {
+}
+</script>
+
+<script setup lang="ts">
+import { ref, computed } from 'vue'
+const count = ref(0)
+const twice = computed(() => count.value * 2)
+function bump() {
+}
+</script>
+
+<i18n>
+{}
+</i18n>
+"""
+    chunks, imports = parsers.parse_vue(text)
+    found = {(t, n): a for t, n, a, *_ in chunks}
+    assert found["variable", "count"] == 16 and ("variable", "twice") in found and {("function", "bump"), ("function", "legacy")} <= set(found)
+    assert [n for t, n, *_ in chunks if t == "block"] == ["template", "script", "script", "i18n"]
+    assert {s for s, _, _ in imports} == {"UserCard", "BaseButton", "vue"}
+
+
+def test_graphql_selection_trees():
+    text = """const q = gql`query Q($id: ID!) { me: user(id: $id) { name ...Card ... on Admin { role } posts(first: 2) { title } } # no
+ other @include(if: $x) }
+fragment Card on User { avatar }
+mutation { save { ok } }`; graphql(`{ plain }`)"""
+    assert [p for p, _ in parsers.graphql_selections(text)] == ["Query.user", "Query.user.name", "Query.user.role", "Query.user.posts", "Query.user.posts.title", "Query.other", "Mutation.save", "Mutation.save.ok", "Query.plain"]
+    assert [p for p, _ in parsers.graphql_uses(text)] == ["Query.user", "Query.other", "Mutation.save", "Query.plain"]
