@@ -17,6 +17,7 @@ Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from itertools import accumulate
 
 import ahocorasick
@@ -67,6 +68,7 @@ class Search:
             self.automaton.add_word(piece, (len(piece), seeds.get(piece, []), piece if piece in table else None))
         self.automaton.make_automaton()
         self.notices, self.labels = list(table.items()), table
+        self.letters = [Counter(n) for n in table]
         self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n, special_only=True)}){{e<={edits(n)}}}") for n in table]
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
@@ -90,6 +92,9 @@ class Search:
                 b = end + 1 - size - offset + len(notice) + e
                 if b <= a:
                     continue
+                # an edit makes up for one letter of the notice that the window lacks
+                if sum((self.letters[at] - Counter(text[a:b])).values()) > e:
+                    continue
                 if m := self.patterns[at].search(text, a, b):
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(notice)))
                     done[at] = m.end()
