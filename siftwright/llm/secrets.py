@@ -107,8 +107,8 @@ def update(versions: DataFrame, ledger: str, id_col: str = "doc_id", text_col: s
 
 
 def _hits(known: DataFrame, ledger: str, rule_version: int) -> DataFrame:
-    """The blobs with findings, each once."""
-    return read_ledger(known.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0)).dropDuplicates(["blob"])
+    """The blobs with findings, each once. Cut, so that the join with a hot blob's versions can be split."""
+    return cut(read_ledger(known.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("kinds") > 0)).dropDuplicates(["blob"]), "secrets-hits")
 
 
 def findings(known: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> DataFrame:
