@@ -199,15 +199,18 @@ def resolve_imports(imports: DataFrame, files: DataFrame, suffixes: tuple[str, .
     """(source, spec, target): relative imports against known paths, the first candidate that exists.
 
     imports(source, spec), files(path). ``spec`` is relative to the directory of ``source``; '.' and '..' are
-    folded by an in-row fold over its parts.
+    folded by an in-row fold over its parts. Dotted modules (.a, ..a.b) count their dots from the package up.
     """
+    dots = F.regexp_extract("spec", "^(\\.+)(?:[A-Za-z_]|\\z)", 1)
+    dotted = F.concat(F.when(F.length(dots) == 1, "./").otherwise(F.repeat(F.lit("../"), F.length(dots) - 1)), F.replace(F.regexp_replace("spec", "^\\.+", ""), F.lit("."), F.lit("/")))
+    asked = imports.withColumn("given", F.col("spec")).withColumn("spec", F.when(dots != "", dotted).otherwise(F.col("spec")))
     dirs = F.filter(F.split(F.regexp_replace("source", "/?[^/]*\\z", ""), "/"), lambda p: p != "")
     parts = F.filter(F.split("spec", "/"), lambda p: (p != "") & (p != "."))
     folded = F.aggregate(parts, dirs, lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))))
-    base = imports.withColumn("base", F.array_join(folded, "/"))
+    base = asked.withColumn("base", F.array_join(folded, "/"))
     bases = F.array_distinct(F.array(F.regexp_replace("base", "\\.(js|jsx|mjs)\\z", ""), F.col("base")))
     names = F.flatten(F.transform(bases, lambda b: F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat(b, s))))
-    each = base.select("source", "spec", F.posexplode(names).alias("i", "path"))
+    each = base.select("source", F.col("given").alias("spec"), F.posexplode(names).alias("i", "path"))
     return each.join(files.select("path"), "path").groupBy("source", "spec").agg(F.min_by("path", "i").alias("target"))
 
 

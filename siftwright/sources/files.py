@@ -72,8 +72,13 @@ def ignore_rules(spark: SparkSession, root: str) -> list[str]:
     out: list[str] = []
     for name in IGNORE_FILES:
         path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        if path.getFileSystem(conf).exists(path):
-            out += [r.value for r in spark.read.text(path.toString()).collect()]
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):  # spark.read leaves names with a leading dot out
+            stream = fs.open(path)
+            try:
+                out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
     return out
 
 

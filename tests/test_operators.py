@@ -21,6 +21,9 @@ def test_imports(spark):
     files = spark.createDataFrame([("src/a.ts",), ("src/b/index.ts",), ("lib/pkg/mod.py",)], "path string")
     imports = spark.createDataFrame([("src/x.ts", "./a"), ("src/b/y.ts", "../a.js"), ("src/x.ts", "./b"), ("src/x.ts", "./none")], "source string, spec string")
     assert rows(relational.resolve_imports(imports, files)) == [("src/b/y.ts", "../a.js", "src/a.ts"), ("src/x.ts", "./a", "src/a.ts"), ("src/x.ts", "./b", "src/b/index.ts")]
+    python = spark.createDataFrame([("p/a.py",), ("p/q/b.py",), ("p/q/__init__.py",)], "path string")
+    specs = spark.createDataFrame([("p/x.py", ".a"), ("p/q/y.py", "..a"), ("p/x.py", ".q.b"), ("p/x.py", ".q"), ("p/q/y.py", "."), ("p/x.py", ".none")], "source string, spec string")
+    assert rows(relational.resolve_imports(specs, python)) == [("p/q/y.py", ".", "p/q/__init__.py"), ("p/q/y.py", "..a", "p/a.py"), ("p/x.py", ".a", "p/a.py"), ("p/x.py", ".q", "p/q/__init__.py"), ("p/x.py", ".q.b", "p/q/b.py")]
     dotted = spark.createDataFrame([("m.py", "pkg.mod"), ("m.py", "pkg.*")], "source string, spec string")
     assert rows(relational.resolve_packages(dotted, files)) == [("m.py", "pkg.mod", "lib/pkg/mod.py")]
 
