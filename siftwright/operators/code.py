@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwright.functions.text import any_of
 from siftwright.operators.ranking import top_per_group
 
 #: Words before a bracket that are no call.
@@ -33,7 +34,10 @@ SECURITY = (
 )
 
 #: Plain text that every match of a pattern holds: looked for first, as a byte search is far cheaper.
-HINTS = {"private_key": "PRIVATE KEY-----", "aws_access_key": "AKIA", "eval_call": "eval", "new_function": "Function", "timer_string": "set", "shell_true": "shell", "debugger": "debugger", "http_url": "http://", "email_address": "@", "sql_template": "{", "path_traversal": "("}
+HINTS = {
+    "private_key": ("PRIVATE KEY-----",), "aws_access_key": ("AKIA",), "eval_call": ("eval",), "new_function": ("Function",), "timer_string": ("setTimeout", "setInterval"), "shell_true": ("shell",), "debugger": ("debugger",), "http_url": ("http://",),
+    "email_address": ("@",), "sql_template": ("query", "execute", "raw"), "path_traversal": ("req", "params", "query", "body", "input"), "command_injection": ("child_process", "exec", "spawn", "system", "popen"), "console_log": ("console",),
+}
 
 #: What is found in test files too: secrets that leak from them as well.
 LEAKS = ("private_key", "aws_access_key", "api_token")
@@ -63,18 +67,20 @@ def security_scan(docs: DataFrame, id_col: str, text: Column, patterns=SECURITY,
     With ``path``, vendored files are left out, test files are searched for leaked secrets only, and files that
     are neither tests nor command lines and call console.log more than LOG_CALLS times have each call listed.
     """
-    hit = lambda c, n, p: F.contains(c, F.lit(HINTS[n])) & c.rlike(p) if n in HINTS else c.rlike(p)
+    hit = lambda c, n, p: any_of(c, HINTS[n]) & c.rlike(p) if n in HINTS else c.rlike(p)
     if path is not None:
         from siftwright.operators.audit import PATH_CLASSES
 
         docs = docs.where(~path.rlike(PATH_CLASSES["vendored"]))
         patterns = (*patterns, ("console_log", "low", "console\\.log\\s*\\("))
-    some = docs.where(reduce(lambda a, b: a | b, (hit(text, n, p) for n, _, p in patterns)))
     place = F.struct(F.col(id_col).alias("id"), *([] if path is None else [path.alias("path")]))
-    rows = lines(some.withColumn("__place", place), "__place", text).where(~F.col("content").rlike("^\\s*(//|#|\\*)"))
+    # what a text holds at all, once; its lines are then held against those patterns only
+    marked = docs.select(place.alias("id"), text.alias("text"), F.array(*(F.coalesce(hit(text, n, p), F.lit(False)) for n, _, p in patterns)).alias("some"))
+    split = F.when(F.array_contains("some", True), F.split("text", "\n"))
+    rows = marked.select("id", "some", F.posexplode(split).alias("pos", "content")).select("id", "some", (F.col("pos") + 1).alias("line"), "content").where(~F.col("content").rlike("^\\s*(//|#|\\*)"))
     sample = F.col("content").rlike(PLACEHOLDER)
-    good = lambda n, p: hit(F.col("content"), n, p) & ~sample if n == "hardcoded_secret" else hit(F.col("content"), n, p)
-    hits = F.filter(F.array(*(F.when(good(n, p), F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"))) for n, s, p in patterns)), lambda x: x.isNotNull())
+    good = lambda i, n, p: F.get("some", F.lit(i)) & (hit(F.col("content"), n, p) & ~sample if n == "hardcoded_secret" else hit(F.col("content"), n, p))
+    hits = F.filter(F.array(*(F.when(good(i, n, p), F.struct(F.lit(n).alias("pattern"), F.lit(s).alias("severity"))) for i, (n, s, p) in enumerate(patterns))), lambda x: x.isNotNull())
     found = rows.select("id.*", "line", F.explode(hits).alias("h")).select("*", "h.pattern", "h.severity").drop("h")
     if path is None:
         return found
