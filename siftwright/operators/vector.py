@@ -32,6 +32,8 @@ def top_k(vectors: DataFrame, query: DataFrame, id_col: str, vec_col: str, query
 BLOCK = 65_536
 #: Vectors, then query vectors, of one matrix product.
 ROWS, TILE = 8192, 512
+#: Scores that a task of ``max_sim_table`` keeps before it hands them on.
+CELLS = 4_000_000
 
 
 def query_blocks(query: DataFrame, query_id: str) -> list[DataFrame]:
@@ -163,18 +165,68 @@ def top_k_blocks(vectors: DataFrame, query: DataFrame, id_col: str, vec_col: str
     return out
 
 
+def _best(shared):
+    """Of each task's vectors the best product of each group with each query vector: (group, place, best)."""
+
+    def run(batches):
+        ask = shared.value
+        kept: dict = {}
+
+        def flush():
+            for group, best in kept.items():
+                some = np.flatnonzero(~np.isneginf(best))
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(some), kind), pa.array(some), pa.array(best[some])], ["doc", "place", "best"])
+            kept.clear()
+
+        kind = None
+        for (groups,), rows in _batches(batches, 1):
+            kind = groups.type
+            q, rows = _aligned(ask, rows)
+            coded = groups.dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            code, v, names = code[order], rows[order], coded.dictionary.to_pylist()
+            heads = np.searchsorted(code, np.arange(len(names)))
+            for name in names:
+                if name not in kept:
+                    if (len(kept) + 1) * len(ask) > CELLS:
+                        yield from flush()
+                    kept[name] = np.full(len(ask), -np.inf)
+            state = {name: kept.setdefault(name, np.full(len(ask), -np.inf)) for name in names}
+            with np.errstate(all="ignore"):
+                v32, off, top = v.astype(np.float32), _slack(q), _slack(v).max()
+                for at in range(0, len(q), TILE):
+                    s = q[at : at + TILE].astype(np.float32) @ v32.T
+                    most = np.fmax.reduceat(s, heads, axis=1)
+                    bar = most - 2 * (off[at : at + TILE] * top)[:, None]
+                    qi, vi = np.nonzero(~(s < bar[:, code]))
+                    qi += at
+                    score = _exact(q, v, qi, vi)
+                    order = np.lexsort((score, qi, code[vi]))  # NaN is last, so the greatest
+                    qi, c, score = qi[order], code[vi[order]], score[order]
+                    end = np.flatnonzero(np.append((c[1:] != c[:-1]) | (qi[1:] != qi[:-1]), True))
+                    for g, name in enumerate(names):
+                        mine = end[np.searchsorted(c[end], g) : np.searchsorted(c[end], g, "right")]
+                        state[name][qi[mine]] = np.maximum(state[name][qi[mine]], score[mine])
+        yield from flush()
+
+    return run
+
+
 def max_sim_table(vectors: DataFrame, query: DataFrame, doc: str, vec_col: str, query_id: str, query_vec: str) -> DataFrame:
     """(doc, max_sim) over a table with a row for each token vector: no document's vectors are gathered.
 
-    The best product of each query vector is a partial maximum; documents sum theirs. ``query`` is one question's
-    vectors, in blocks.
+    The best product of each query vector is a partial maximum, found by matrix products; documents sum theirs.
+    ``query`` is one question's vectors, in blocks.
     """
-    best = None
+    sums = None
+    kind = vectors.schema[doc].dataType
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("place", T.LongType()), T.StructField("best", T.DoubleType())])
     for block in query_blocks(query, query_id):
-        q = F.broadcast(block.select(F.col(query_id).alias("__q"), F.col(query_vec).alias("__v")))
-        part = vectors.join(q).groupBy(doc, "__q").agg(F.max(dot(F.col(vec_col), F.col("__v"))).alias("best"))
-        best = part if best is None else best.unionByName(part)
-    return best.groupBy(doc).agg(F.sum("best").alias("max_sim"))
+        _, shared = _asked(block, query_id, query_vec)
+        part = vectors.select(doc, vec_col).mapInArrow(_best(shared), schema).groupBy("doc", "place").agg(F.max("best").alias("best")).groupBy("doc").agg(F.sum("best").alias("best"))
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy(F.col("doc").alias(doc)).agg(F.sum("best").alias("max_sim"))
 
 
 def rerank(pool: DataFrame, id_col: str, query_tokens: str, doc_tokens: str, order: str, k: int = 10) -> DataFrame:

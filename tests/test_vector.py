@@ -62,6 +62,18 @@ def test_top_k_over_many_batches():
     assert got == want
 
 
+def test_max_sim_of_a_table(spark):
+    rows = [(i, v, f"d{i % 7}" if i % 7 else None) for i, v in odd_vectors(random.Random(2), 60) if i not in (64, 65)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, doc string").repartition(3)
+    q = df.where("id % 3 = 0").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    out = vector.max_sim_table(df, q, "doc", "v", "q", "w")
+    asked = [v for i, v, _ in rows if i % 3 == 0 and v is not None]
+    for r in out.collect():
+        want = sum(max(dot(w, v) for _, v, d in rows if d == r.doc and v is not None) for w in asked)
+        assert math.isclose(r.max_sim, want, abs_tol=1e-9)
+    assert out.count() == 7 and "NestedLoop" not in plan(out)
+
+
 def test_nan_is_the_greatest(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [math.nan]), (3, [2.0])], "id long, v array<double>")
     q = df.where("id = 1").select(F.col("id").alias("q"), F.col("v").alias("w"))
