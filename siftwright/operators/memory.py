@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.functions.text import jaccard
-from siftwright.functions.vectors import dot
 from siftwright.operators.ranking import top_per_group
+from siftwright.operators.vector import top_k_blocks
 
 
 def default_kind(category: Column) -> Column:
@@ -62,10 +62,11 @@ def missing_files(memories: DataFrame, files: DataFrame, id_col: str, related: s
 
 
 def similar(memories: DataFrame, new: DataFrame, id_col: str, vec: str, least: float = 0.85, top: int = 50) -> DataFrame:
-    """(new_id, id, score): stored rows close to each new one. ``new`` is a small stated set and is broadcast."""
+    """(new_id, id, score): the ``top`` stored rows close to each new one but itself, however many are new; ids are longs."""
     q = new.select(F.col(id_col).alias("new_id"), F.col(vec).alias("__v"))
-    pairs = memories.join(F.broadcast(q)).withColumn("score", dot(F.col(vec), F.col("__v"))).where((F.col("score") >= least) & (F.col(id_col) != F.col("new_id")))
-    return top_per_group(pairs.select("new_id", id_col, "score"), ["new_id"], [F.col("score").desc(), F.col(id_col)], top).drop("rank")
+    # one more than asked: a row's own may be among them
+    best = top_k_blocks(memories, q, id_col, vec, "new_id", "__v", top + 1, least).where(F.col(id_col) != F.col("new_id")).drop("rank")
+    return top_per_group(best, ["new_id"], [F.col("score").desc(), F.col(id_col)], top).select("new_id", id_col, "score")
 
 
 def conflicts(close: DataFrame, shares_file: Column, least: float = 0.92) -> DataFrame:
@@ -114,15 +115,10 @@ def remember(memories: DataFrame, new: DataFrame, at: str, sure: float = 0.92, c
 
     Both have (id, category, content, vector, related array<string>), memories also (confidence, tier, kind,
     valid_from, invalidated_at, superseded_by). Of the ``top`` memories nearest to a new one (cosine ``close`` or more), those contradict it that
-    are nearly equal (``sure``) or touch a file of it. ``new`` is what one call writes; it is broadcast, so a
-    set beyond vector.BLOCK rows raises an error.
+    are nearly equal (``sure``) or touch a file of it. ``new`` may have any size.
     """
-    from siftwright.operators.vector import BLOCK
-
-    if new.limit(BLOCK + 1).count() > BLOCK:
-        raise ValueError(f"more than {BLOCK} memories in one call")
     pairs = similar(active(memories), new, "id", "vector", close, top)
-    files = pairs.join(memories.select("id", F.col("related").alias("old")), "id").join(F.broadcast(new.select(F.col("id").alias("new_id"), F.col("related").alias("now"))), "new_id")
+    files = pairs.join(memories.select("id", F.col("related").alias("old")), "id").join(new.select(F.col("id").alias("new_id"), F.col("related").alias("now")), "new_id")
     shares = F.coalesce(F.arrays_overlap("old", "now"), F.lit(False))
     by = conflicts(files, shares, sure).groupBy("id").agg(F.min("new_id").alias("by"))
     when = F.lit(at).cast("timestamp_ntz")

@@ -167,7 +167,7 @@ def remember_new(t):
     """Every vector whose id is divisible by 50 comes in again as a new memory about its label."""
     label = F.array(F.concat(F.lit("f"), F.col("label").cast("string")))
     when = F.when(F.col("id") % 11 == 0, F.lit("2024-01-01").cast("timestamp_ntz"))
-    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.lit("decision").alias("category"), F.lit("c").alias("content"), F.col("embedding").alias("vector"), label.alias("related"))
+    rows = t.texts("embeddings").select(F.col("vec_id").alias("id"), F.lit("decision").alias("category"), F.lit("c").alias("content"), F.col("embedding").alias("vector"), label.alias("related"))
     old = rows.withColumns({"confidence": F.lit(1.0), "tier": F.lit("archive"), "kind": F.lit("semantic"), "valid_from": F.lit("2023-01-01").cast("timestamp_ntz"), "invalidated_at": when, "superseded_by": F.lit(None).cast("long")})
     new = rows.where("id % 50 = 0").withColumn("id", F.col("id") + 1_000_000)
     return memory.remember(old, new, "2024-06-01", close=0.5).select("id", "superseded_by", F.col("invalidated_at").isNotNull().alias("invalid"))

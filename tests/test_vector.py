@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siftwright.operators import vector
+from siftwright.operators import memory, vector
 
 
 def dot(a, b):
@@ -78,3 +78,13 @@ def test_nan_is_the_greatest(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [math.nan]), (3, [2.0])], "id long, v array<double>")
     q = df.where("id = 1").select(F.col("id").alias("q"), F.col("v").alias("w"))
     assert [r.id for r in vector.top_k_blocks(df, q, "id", "v", "q", "w", 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_remember_takes_any_number_of_new_memories(spark):
+    base = spark.range(0, 5000).select("id", F.lit("decision").alias("category"), F.lit("c").alias("content"), F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("vector"), F.array(F.lit("f")).alias("related"))
+    stamp = F.lit(None).cast("timestamp_ntz")
+    old = base.where("id < 3").withColumns({"confidence": F.lit(1.0), "tier": F.lit("archive"), "kind": F.lit("semantic"), "valid_from": stamp, "invalidated_at": stamp, "superseded_by": F.lit(None).cast("long")})
+    got = memory.remember(old, base.withColumn("id", F.col("id") + 10), "2024-06-01")
+    assert got.count() == 5003
+    want = {i: min(j + 10 for j in range(5000) if math.cos(i - j) >= 0.85) for i in range(3)}
+    assert {r.id: r.superseded_by for r in got.where("id < 3").collect()} == want
