@@ -159,14 +159,15 @@ def _spread(df: DataFrame, start: str, end: str, name: str, width: int) -> DataF
     return df.where(F.col(end) >= F.col(start)).withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, width: int = BUCKET) -> DataFrame:
+def as_of(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, width: int = BUCKET, tie: list[str] | None = None) -> DataFrame:
     """The value of the interval with the latest start that holds each point; points without one keep null.
 
-    Points meet the intervals of their own bucket of ``width`` places, not all of their key.
+    Of intervals with one start that is the first by the columns ``tie``. Points meet the intervals of their own bucket of ``width`` places, not all of their key.
     """
     there = _spread(intervals, start, end, "__b", width)
     hit = points.withColumn("__b", F.floor(F.col(at) / width)).join(there, [key, "__b"], "left").withColumn("__in", (F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
-    return hit.groupBy(key, at).agg(F.max_by(F.when(F.col("__in"), F.col(value)), F.when(F.col("__in"), F.col(start))).alias(value))
+    order = F.struct(-F.col(start), *(F.col(c) for c in tie or [value]))
+    return hit.groupBy(key, at).agg(F.min_by(F.when(F.col("__in"), F.col(value)), F.when(F.col("__in"), order)).alias(value))
 
 
 def within(found: DataFrame, expected: DataFrame, key: str, a: str, b: str, tolerance: int) -> DataFrame:

@@ -182,9 +182,11 @@ def duplicate_names(t):
 
 @query("WITH i AS (SELECT l_orderkey AS k, l_linenumber * 10 AS a, l_linenumber * 10 + 14 AS b, l_partkey AS v FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber * 7 AS place FROM lineitem) SELECT k, place, max_by(v, a) AS v FROM (SELECT p.k, p.place, i.a, i.v FROM p LEFT JOIN i ON p.k = i.k AND a <= place AND b >= place) GROUP BY 1, 2")
 def breadcrumb_asof(t):
-    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("v"))
-    intervals = rows.select("k", (F.col("n") * 10).alias("a"), (F.col("n") * 10 + 14).alias("b"), "v")
-    return relational.as_of(rows.select("k", (F.col("n") * 7).alias("place")).distinct(), intervals, "k", "place", "a", "b", "v")
+    """Line items of an order share numbers: of those the first in the table counts, as in SQL, whatever task reads it."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("row")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("v"), place)
+    intervals = rows.select("k", (F.col("n") * 10).alias("a"), (F.col("n") * 10 + 14).alias("b"), "v", "row")
+    return relational.as_of(rows.select("k", (F.col("n") * 7).alias("place")).distinct(), intervals, "k", "place", "a", "b", "v", tie=["row"])
 
 
 @query("SELECT a.l_suppkey AS k, a.l_partkey AS found, b.l_partkey AS expected FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND abs(a.l_partkey - b.l_partkey) <= 3 WHERE a.l_quantity > 48 AND b.l_quantity < 3")

@@ -222,3 +222,15 @@ def test_intervals_meet_in_buckets(spark):
     other = df.selectExpr("k", "a + 30 AS c", "b + 31 AS d", "v AS w")
     pairs = {(r.v, r.w) for r in relational.overlaps(df, other, "k", ("a", "b"), ("c", "d")).collect()}
     assert pairs == {(v, w) for k, a, b, v in spans for j, c, d, w in spans if k == j and b >= a and d + 31 >= c + 30 and b >= c + 30 and a <= d + 31}
+
+
+def test_of_intervals_with_one_start_the_first_counts(spark):
+    """Whatever order their rows come in."""
+    spans = [(1, 10, 24, v, i) for i, v in enumerate([5, 9, 1, 7])]
+    points = spark.createDataFrame([(1, 14), (1, 3)], "k int, p long")
+    for order in (spans, spans[::-1], spans[2:] + spans[:2]):
+        df = spark.createDataFrame(order, "k int, a long, b long, v long, row long")
+        got = {r.p: r.v for r in relational.as_of(points, df, "k", "p", "a", "b", "v", tie=["row"]).collect()}
+        assert got == {14: 5, 3: None}
+        got = {r.p: r.v for r in relational.as_of(points, df, "k", "p", "a", "b", "v").collect()}
+        assert got == {14: 1, 3: None}
