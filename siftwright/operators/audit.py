@@ -170,11 +170,21 @@ def recall(lanes: DataFrame, memories: DataFrame, age_days: Column, limit: int,
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:
-    """For each hit its ``k`` nearest chunks of the same file by the distance of middle lines. chunks(id, file, start, end)."""
-    mid = (F.col("start") + F.col("end")) / 2
-    a = hits.select("id").join(chunks, "id").select(F.col("id").alias("hit"), "file", mid.alias("m"))
-    b = chunks.select(F.col("id").alias("near"), "file", mid.alias("o"))
-    pairs = a.join(b, "file").where("hit <> near").withColumn("distance", F.abs(F.col("m") - F.col("o")))
+    """For each hit its ``k`` nearest chunks of the same file by the distance of middle lines, ties to the smaller id. chunks(id, file, start, end).
+
+    The chunks of a file have places by their middle, from either end; a hit meets those at the k places before and
+    the k after the chunks at its own middle, not all of its file.
+    """
+    rows = chunks.select(F.col("id").alias("near"), "file", ((F.col("start") + F.col("end")) / 2).alias("o")).where("o IS NOT NULL AND file IS NOT NULL")
+    own = hits.select(F.col("id").alias("near")).distinct().join(rows, "near").select(F.col("near").alias("hit"), "file", F.col("o").alias("m"))
+    pairs = None
+    # at the own middle or behind it: from the first chunk there; before it: from the place after the last one there
+    for order, edge, first, last in ((F.col("o"), F.min, 0, k), (F.col("o").desc(), F.max, 1, k)):
+        placed = running(rows, ["file"], [order, F.col("near")], F.lit(1), "place")
+        mine = placed.join(own.select("file", F.col("m").alias("o")).distinct(), ["file", "o"], "left_semi").groupBy("file", F.col("o").alias("m")).agg(edge("place").alias("at"))
+        asked = own.join(mine, ["file", "m"]).withColumn("place", F.explode(F.sequence(F.col("at") + first, F.col("at") + last)))
+        part = asked.join(placed, ["file", "place"]).where("hit <> near").select("hit", "near", F.abs(F.col("m") - F.col("o")).alias("distance"))
+        pairs = part if pairs is None else pairs.union(part)
     return top_per_group(pairs, ["hit"], [F.col("distance"), F.col("near")], k).select("hit", "near", "distance")
 
 
