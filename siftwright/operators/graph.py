@@ -124,15 +124,33 @@ def clusters(nodes: DataFrame, edges: DataFrame, iterations: int = 20, least: in
     return final.join(numbered, "label").select("id", "cluster", "size", "total", "hub")
 
 
+#: Ids that are broadcast to pick rows; beyond that both sides are shuffled.
+FEW = 1_000_000
+
+
+def _rows_of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is among ``ids``(id), a table that was cut: broadcast if it was counted to be small."""
+    ids = ids.select(F.col("id").alias(key))
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_semi")
+
+
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(id, depth): nodes within ``depth`` hops of the seeds and their least depth. Unrolled joins, one a hop."""
+    """(id, depth): nodes within ``depth`` hops of the seeds and their least depth. One join a hop, of the edges at the front alone."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    hop = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    hop = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return _hops(seeds, depth, lambda front: _rows_of(hop, "a", front).select(F.col("b").alias("id")))
+
+
+def bfs_groups(seeds: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+    """``bfs`` where all members of a group are linked, members(group, id), without a row for each pair of them."""
+    return _hops(seeds, depth, lambda front: _rows_of(members, "group", cut(_rows_of(members, "id", front).select(F.col("group").alias("id")).distinct())).select("id"))
+
+
+def _hops(seeds: DataFrame, depth: int, reach) -> DataFrame:
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, depth + 1):
-        new = hop.join(front.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-        front = cut(new)
+        front = cut(reach(front).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.union(front)
     return seen
 

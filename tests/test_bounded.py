@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import audit
+from siftwright.operators import audit, graph
 
 
 def plan(df):
@@ -30,3 +30,13 @@ def test_neighbours_match_all_pairs(spark):
     assert {h: sorted(v) for h, v in got.items()} == want
     # no join on the file alone
     assert "place" in plan(out)
+
+
+def test_hops_within_groups(spark):
+    rng = random.Random(6)
+    members = [(rng.randrange(40), rng.randrange(60)) for _ in range(90)]
+    df = spark.createDataFrame(members, "`group` long, id long")
+    a, b = (df.select("group", F.col("id").alias(c)) for c in ("src", "dst"))
+    seeds = spark.createDataFrame([(members[0][1],), (members[0][1],), (777,)], "id long")
+    got = sorted(map(tuple, graph.bfs_groups(seeds, df, 3).collect()))
+    assert got == sorted(map(tuple, graph.bfs(seeds, a.join(b, "group").where("src <> dst"), 3).collect())) and len(got) > 10
