@@ -44,11 +44,21 @@ def bm25(docs: DataFrame, id_col: str, text: Column, terms: list[str], k: int |
     return out if k is None else out.orderBy(F.col("score").desc(), "id").limit(k)
 
 
+#: Terms of a table of queries that are broadcast: words that none of them asks leave before they are counted.
+TERMS = 200_000
+
+
 def bm25_batch(docs: DataFrame, queries: DataFrame, id_col: str, text: Column, query_id: str, query: Column) -> DataFrame:
     """(query, id, score) for a table of queries through the inverted index: one plan for all of them."""
-    index = postings(docs, id_col, text)
-    asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(F.filter(tokens(query), lambda w: F.length(w) > 1))).alias("term"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    from siftwright.operators.graph import cut
+
+    asked = cut(queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(F.filter(tokens(query), lambda w: F.length(w) > 1))).alias("term")))
+    terms = asked.select("term").distinct()
+    if terms.count() <= TERMS:
+        words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("words")).select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+        wanted = cut(words.join(F.broadcast(terms), "term", "left_semi").groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf")))
+    else:
+        wanted = cut(postings(docs, id_col, text).join(terms, "term", "left_semi"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     totals = docs.select(F.size(tokens(text)).alias("l")).agg(F.count("*").alias("n"), F.avg("l").alias("avgdl"))
     hits = asked.join(df, "term").join(wanted, "term").join(F.broadcast(totals))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import audit, graph
+from siftwright.operators import audit, graph, search
 
 
 def plan(df):
@@ -40,3 +40,18 @@ def test_hops_within_groups(spark):
     seeds = spark.createDataFrame([(members[0][1],), (members[0][1],), (777,)], "id long")
     got = sorted(map(tuple, graph.bfs_groups(seeds, df, 3).collect()))
     assert got == sorted(map(tuple, graph.bfs(seeds, a.join(b, "group").where("src <> dst"), 3).collect())) and len(got) > 10
+
+
+def test_words_that_nobody_asks_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "the cat sat " + " ".join(f"w{i}x{j}" for j in range(50))) for i in range(20)] + [(99, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "the w3x1 w3x1"), (2, "nothing")], "q int, body string")
+    tables, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: tables.append(df) or cut(df))
+    got = {(r.q, r.id): r.score for r in search.bm25_batch(docs, asked, "id", F.col("text"), "q", F.col("body")).collect()}
+    assert set(got) == {(1, i) for i in range(20)} and max(got, key=got.get) == (1, 3)
+    # asked words are joined before any count by document
+    kept = plan(tables[-1]).split("== Physical Plan ==")[1]
+    assert kept.index("HashAggregate") < kept.index("BroadcastHashJoin")
+    monkeypatch.setattr(search, "TERMS", 0)
+    again = {(r.q, r.id): r.score for r in search.bm25_batch(docs, asked, "id", F.col("text"), "q", F.col("body")).collect()}
+    assert again.keys() == got.keys() and all(abs(again[k] - got[k]) < 1e-9 for k in got)
