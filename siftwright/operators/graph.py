@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwright.operators import dense
+
 #: Steps of a loop between two tables that end its lineage.
 STRIDE = 4
 
@@ -82,6 +84,10 @@ def label_propagation(edges: DataFrame, iterations: int = 20) -> DataFrame:
     other, leave as it is.
     """
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).where("src <> dst AND weight > 0")
+    if dense.fits(edges.schema["src"].dataType, edges.schema["dst"].dataType):
+        ids = dense.node_ids(both.select(F.col("src").alias("id")).distinct())
+        if ids is not None and len(ids):
+            return dense.label_propagation(ids, dense.places(both.select(F.col("src").alias("s"), F.col("dst").alias("d"), F.col("weight").alias("w")), ids), iterations)
     both = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     labels = cut(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
 
