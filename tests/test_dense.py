@@ -22,6 +22,17 @@ def test_label_propagation_is_that_of_tables(spark, monkeypatch):
     assert calls and 1 < len(set(got.values())) < len(got)
 
 
+def test_pagerank_is_that_of_tables(spark, monkeypatch):
+    edges = links(spark, 5, 60, 200)
+    nodes = spark.createDataFrame([(i * 10**12 - 5,) for i in range(50)] + [(7,)], "id long")
+    ranks = lambda t: {r.id: r["rank"] for r in graph.pagerank(nodes, edges, tolerance=t).collect()}
+    got = [ranks(None), ranks(1e-3)]
+    monkeypatch.setattr(dense, "NODES", 1)
+    want = ranks(None)
+    assert got[0].keys() == want.keys() and len(want) == 51
+    assert all(abs(got[0][k] - want[k]) < 1e-9 for k in want) and all(abs(got[1][k] - want[k]) < 0.1 for k in want)
+
+
 def test_packs_hold_all_edges_of_a_head(monkeypatch):
     import numpy as np
     import pyarrow as pa
