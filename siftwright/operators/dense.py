@@ -6,6 +6,7 @@ A step reads the packs and hands on what it found for the nodes; edges are shuff
 from __future__ import annotations
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 NODES = 20_000_000
 #: Edges of a pack, but that all edges of a head are in one.
 PACK = 1 << 18
+#: Edges that the driver works through by itself, and those of a component that one task does.
+ALONE = 1 << 20
 
 
 def fits(*ids) -> bool:
@@ -96,7 +99,10 @@ def _step(shared, f):
     return run
 
 
-def step(packed: DataFrame, state, f, kind) -> tuple[np.ndarray, np.ndarray]:
+def step(packed: DataFrame | list, state, f, kind) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(packed, list):
+        got = [f(state, *p) for p in packed]
+        return np.concatenate([np.zeros(0, np.int32), *(at for at, _ in got)]), np.concatenate([np.zeros(0, kind), *(v for _, v in got)])
     shared = packed.sparkSession.sparkContext.broadcast(state)
     try:
         table = packed.mapInArrow(_step(shared, f), "place binary, value binary").toArrow()
@@ -187,3 +193,226 @@ def label_propagation(ids: np.ndarray, links: DataFrame, iterations: int) -> Dat
             break
     shared = packed.sparkSession.sparkContext.broadcast((ids, labels))
     return cut(packed.select("s").mapInArrow(_labels(shared), "id long, label long"))
+
+
+def _by(edges: DataFrame, head: str, tail: str, ids: np.ndarray) -> DataFrame:
+    """``packs`` by the place of ``head``; heads beside each other are in one pack, so that a step gets far in graphs of near ids."""
+    shared = edges.sparkSession.sparkContext.broadcast(ids)
+    rows = edges.select(F.col(head).cast("long").alias("s"), F.col(tail).cast("long").alias("d"), F.lit(1.0).alias("w"))
+    packed = packs(rows.repartitionByRange("s").sortWithinPartitions("s").mapInArrow(_places(shared), "s int, d int, w double"))
+    shared.destroy()
+    return packed
+
+
+def _among(shared):
+    """Packs without the edges of which an end is gone."""
+
+    def run(batches):
+        there = shared.value
+        for b in batches:
+            for s, d, w in zip(*(c.to_pylist() for c in b.columns)):
+                s, d, w = np.frombuffer(s, np.int32), np.frombuffer(d, np.int32), np.frombuffer(w)
+                keep = there[s] & there[d]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x[keep].tobytes()], pa.binary()) for x in (s, d, w)], ["s", "d", "w"])
+
+    return run
+
+
+def _left(there, s, d, w):
+    return np.zeros(1, np.int32), np.array([np.count_nonzero(there[s] & there[d])])
+
+
+def _shrink(sides: list, there: np.ndarray) -> list:
+    """Packings without the edges of which an end is gone; few edges come to the driver."""
+    from siftwright.operators.graph import cut
+
+    if isinstance(sides[0], list):
+        return [[tuple(x[keep] for x in p) for p in side for keep in [there[p[0]] & there[p[1]]] if keep.any()] for side in sides]
+    few = step(sides[0], there, _left, np.int64)[1].sum() <= ALONE
+    shared = sides[0].sparkSession.sparkContext.broadcast(there)
+    rest = [side.mapInArrow(_among(shared), "s binary, d binary, w binary") for side in sides]
+    if not few:
+        return [cut(side) for side in rest]
+    return [_whole(*(np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in c.to_pylist())]) for c, t in zip(side.toArrow().columns, (np.int32, np.int32, np.float64)))) for side in rest]
+
+
+def _whole(s, d, w) -> list:
+    """One pack of all edges, or none."""
+    order = np.argsort(s, kind="stable")
+    return [(s[order], d[order], w[order])] if len(s) else []
+
+
+def _within(s, d, keep):
+    """(start of each head, its place, heads by tail, start of each tail): the edges of a pack, and of those to ``keep`` the ones whose tail is a head here."""
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    own = s[start]
+    at = np.minimum(np.searchsorted(own, d), len(own) - 1)
+    local = keep & (own[at] == d)
+    head, tail = np.repeat(np.arange(len(own)), np.diff(np.append(start, len(s))))[local], at[local]
+    order = np.argsort(tail, kind="stable")
+    return start, own, head[order], np.searchsorted(tail[order], np.arange(len(own) + 1))
+
+
+def _out(first, front):
+    """(place in the front, edge) for all edges of its nodes, where ``first`` tells at which edge a node starts."""
+    size = first[front + 1] - first[front]
+    by = np.repeat(np.arange(len(front)), size)
+    return by, np.arange(len(by)) + np.repeat(first[front] - (np.cumsum(size) - size), size)
+
+
+def _held(there, s, d, w):
+    """Heads that are there and have a tail that is; those without leave, and what hangs on them in the pack too."""
+    start, own, head, first = _within(s, d, there[s] & there[d])
+    left = np.add.reduceat(there[d].astype(np.int64), start)
+    here = there[own]
+    front = np.flatnonzero(here & (left == 0))
+    while len(front):
+        here[front] = False
+        to = head[_out(first, front)[1]]
+        np.subtract.at(left, to, 1)
+        to = np.unique(to)
+        front = to[here[to] & (left[to] == 0)]
+    return own[here], np.zeros(np.count_nonzero(here), np.int8)
+
+
+def _lower(state, s, d, w):
+    """Heads whose label falls to that of a tail in their group, with the least that reaches them in the pack."""
+    label, group = state
+    same = group[s] == group[d]
+    start, own, head, first = _within(s, d, same)
+    old = label[own]
+    here = np.minimum(old, np.minimum.reduceat(np.where(same, label[d], np.iinfo(np.int32).max), start))
+    front = np.flatnonzero(here != old)
+    while len(front):
+        by, e = _out(first, front)
+        to, via = head[e], here[front][by]
+        falls = via < here[to]
+        np.minimum.at(here, to[falls], via[falls])
+        front = np.unique(to[falls])
+    moved = here != old
+    return own[moved], here[moved]
+
+
+def _spread(packed, label: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Least label that reaches each node over edges within its group."""
+    while True:
+        at, value = step(packed, (label, group), _lower, np.int32)
+        if not len(at):
+            return label
+        label[at] = value
+
+
+def _members(shared):
+    def run(batches):
+        ids, component = shared.value
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                node = np.unique(np.frombuffer(s, np.int32))
+                node = node[component[node] >= 0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(ids[component[node]])], ["id", "component"])
+
+    return run
+
+
+def scc(ids: np.ndarray, edges: DataFrame, least: int) -> DataFrame:
+    """(id, component) as ``graph.scc`` says, over the edges(src, dst) whose ends are both among ``ids``.
+
+    Edges are packed by either end. A step tells the driver of each node once at most.
+    """
+    from siftwright.operators.graph import cut
+
+    spark, n, far = edges.sparkSession, len(ids), np.iinfo(np.int32).max
+    if edges.count() <= ALONE:
+        rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.lit(1.0)).toArrow().to_batches()
+        known = list(_places(SimpleNamespace(value=ids))(rows))
+        s, d, w = (np.concatenate([np.zeros(0, t), *(b.column(i).to_numpy() for b in known)]) for i, t in enumerate((np.int32, np.int32, np.float64)))
+        into, out = _whole(d, s, w), _whole(s, d, w)
+    else:
+        into, out = _by(edges, "dst", "src", ids), _by(edges, "src", "dst", ids)
+    first, place = out, np.arange(n, dtype=np.int32)
+    there, component, packed = np.ones(n, bool), np.full(n, -1, np.int32), n
+    while True:
+        before = -1
+        while before != np.count_nonzero(there):
+            before = np.count_nonzero(there)
+            for side in (into, out):
+                at, _ = step(side, there, _held, np.int8)
+                there = np.zeros(n, bool)
+                there[at] = True
+        if not before:
+            break
+        if before <= packed // 2:
+            (into, out), packed = _shrink([into, out], there), before
+        colour = _spread(into, np.where(there, place, far), np.where(there, 0, -1).astype(np.int32))
+        # a node gets its own colour back only if it reaches the root
+        mark = _spread(out, np.where(colour == place, place, far), colour)
+        found = mark != far
+        component[found] = mark[found]
+        there = there & ~found
+    size = np.bincount(component[component >= 0], minlength=n)
+    component[(component >= 0) & (size[component] < least)] = -1
+    if isinstance(first, list):
+        in_one = np.flatnonzero(component >= 0)
+        return spark.createDataFrame(pa.table({"id": ids[in_one], "component": ids[component[in_one]]}), "id long, component long")
+    return cut(first.select("s").mapInArrow(_members(spark.sparkContext.broadcast((ids, component))), "id long, component long"))
+
+
+def _rings(c, s, d):
+    """(component, cycles): for whole components, given as edges from s to d of component c."""
+    nodes, at = np.unique(np.concatenate([s, d]), return_inverse=True)
+    s, d = at[: len(c)], at[len(c) :]
+    order = np.argsort(s, kind="stable")
+    names, c = np.unique(c, return_inverse=True)
+    of = np.empty(len(nodes), np.int64)
+    of[s], of[d] = c, c
+    d, first = d[order], np.searchsorted(s[order], np.arange(len(nodes) + 1))
+    root = np.unique(of, return_index=True)[1]
+    parent, seen = np.full(len(nodes), -1), np.zeros(len(nodes), bool)
+    end, length = np.full(len(names), -1), np.zeros(len(names), np.int64)
+    seen[root], front, hops = True, root, 0
+    while len(front):
+        hops += 1
+        # a front is in the order of its paths, so the first edge to a node is that of the smallest one
+        by, e = _out(first, front)
+        to = d[e]
+        back = to == root[of[to]]
+        closed, at = np.unique(of[to[back]], return_index=True)
+        end[closed], length[closed] = front[by[back][at]], hops
+        go = ~back & ~seen[to] & (length[of[to]] == 0)
+        node, at = np.unique(to[go], return_index=True)
+        by = by[go][at]
+        seen[node], parent[node] = True, front[by]
+        front = node[np.lexsort((node, by))]
+    done = np.flatnonzero(length)
+    stop = np.append(0, np.cumsum(length[done]))
+    flat = np.empty(stop[-1], np.int64)
+    node, at = end[done], stop[1:] - 1
+    while len(node):
+        flat[at] = nodes[node]
+        up = parent[node] >= 0
+        node, at = parent[node[up]], at[up] - 1
+    return names[done], pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(flat))
+
+
+def _cycles(batches):
+    held: list = [np.zeros(0, np.int64)] * 3
+    parts: list = []
+    for b in batches:
+        parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if sum(len(p[0]) for p in parts) + len(held[0]) < PACK:
+            continue
+        held, parts = [np.concatenate(c) for c in zip(held, *parts)], []
+        end = np.searchsorted(held[0], held[0][-1])
+        if end:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _rings(*(c[:end] for c in held)))), ["component", "cycle"])
+            held = [c[end:] for c in held]
+    held = [np.concatenate(c) for c in zip(held, *parts)]
+    if len(held[0]):
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, _rings(*held))), ["component", "cycle"])
+
+
+def cycles(inner: DataFrame) -> DataFrame:
+    """(component, cycle) as ``graph.cycles`` says, over edges(c, src, dst) within components, each of which is worked through in one task."""
+    rows = inner.select(F.col("c").cast("long"), F.col("src").cast("long"), F.col("dst").cast("long"))
+    return rows.repartition("c").sortWithinPartitions("c").mapInArrow(_cycles, "component long, cycle array<long>")

@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwright.operators import dense
 
@@ -203,7 +204,12 @@ def scc(edges: DataFrame, least: int = 2) -> DataFrame:
     root form a component; they leave, and the rest goes round again. Nodes without in- or out-edges are
     trimmed in each round.
     """
-    left = edges.select("src", "dst").where("src <> dst").distinct()
+    left = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    kind = edges.schema["src"].dataType
+    if dense.fits(kind, edges.schema["dst"].dataType):
+        ids = dense.node_ids(cut(left.select(F.col("src").alias("id")).distinct()))
+        if ids is not None:
+            return dense.scc(ids, left, least).select(F.col("id").cast(kind), F.col("component").cast(kind))
     found = None
     while True:
         while True:
@@ -256,11 +262,22 @@ def cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(component, cycle): a shortest cycle through the least member of each component, as an array from that member on.
 
     components(id, component) by ``scc``. Paths grow by a hop at a time within a component, one a node: the
-    one over the smallest nodes. Ends once every component has its cycle.
+    one over the smallest nodes. Ends once every component has its cycle. Components with whole numbers as ids
+    are each done by one task; those of more than ``dense.ALONE`` edges, or with other ids, grow over tables.
     """
     inner = edges.select("src", "dst").where("src <> dst").distinct()
     inner = inner.join(components.select(F.col("id").alias("src"), F.col("component").alias("c")), "src").join(components.select(F.col("id").alias("dst"), F.col("component").alias("d")), "dst").where("c = d")
     inner = cut(inner.select("c", "src", "dst"))
+    if not dense.fits(*(components.schema[c].dataType for c in ("id", "component")), *(edges.schema[c].dataType for c in ("src", "dst"))):
+        return _cycles(inner, components)
+    large = [r.c for r in inner.groupBy("c").count().where(F.col("count") > dense.ALONE).collect()]
+    is_large = F.col("c").isin(large)
+    kinds = [components.schema["component"].dataType, T.ArrayType(components.schema["id"].dataType)]
+    found = dense.cycles(inner.where(~is_large)).select(*(F.col(c).cast(k) for c, k in zip(("component", "cycle"), kinds)))
+    return found.union(_cycles(cut(inner.where(is_large)), components.where(F.col("component").isin(large)))) if large else found
+
+
+def _cycles(inner: DataFrame, components: DataFrame) -> DataFrame:
     root = components.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("root"))
     front = cut(root.select("c", "root", F.col("root").alias("node"), F.array("root").alias("path")))
     seen, done = front.select("c", "node"), None

@@ -43,3 +43,43 @@ def test_packs_hold_all_edges_of_a_head(monkeypatch):
     got = [np.frombuffer(b.column(0)[0].as_py(), np.int32) for b in dense._pack(iter(batches))]
     assert np.array_equal(np.concatenate(got), s) and len(got) > 3
     assert not any({*a.tolist()} & {*b.tolist()} for a, b in zip(got, got[1:]))
+
+
+def test_components_and_cycles_are_those_of_tables(spark, monkeypatch):
+    """On the driver alone, over packs, and over tables: random graphs, a ring against the order of its ids, chained rings."""
+    rng = random.Random(6)
+    edges = links(spark, 6, 120, 170).select("src", "dst")
+    ring = [(10**15 + i, 10**15 + i - 1) for i in range(1, 12)] + [(10**15, 10**15 + 11), (10**15 + 3, 10**15 + 9), (10**15 + 8, 10**15 + 2)]
+    chain = [x for i in range(4) for a in (-(10**13) + 10 * i,) for x in ((a, a + 1), (a + 1, a + 2), (a + 2, a), (a + 1, a), (a + 2, a + 11))]
+    rng.shuffle(ring)
+    edges = edges.union(spark.createDataFrame([*ring, *chain], "src long, dst long")).repartition(3)
+
+    def run():
+        parts = graph.scc(edges)
+        found = [(r.id, r.component) for r in parts.collect()]
+        rings = [(r.component, r.cycle) for r in graph.cycles(edges, parts).collect()]
+        assert len(found) == len(set(found)) and len(rings) == len(dict(rings))
+        return dict(found), dict(rings)
+
+    alone = run()
+    monkeypatch.setattr(dense, "PACK", 7)
+    monkeypatch.setattr(dense, "ALONE", 30)
+    packed = run()
+    monkeypatch.setattr(dense, "ALONE", 0)
+    assert run() == packed
+    monkeypatch.setattr(dense, "fits", lambda *_: False)
+    assert alone == packed == run()
+    assert len(alone[1]) > 6 and max(map(len, alone[1].values())) > 4
+
+
+def test_long_rings_take_no_more_tables_than_short_ones(spark):
+    """Both loops used to write tables for every few hops, as many as the ring was long."""
+
+    def made(n):
+        edges = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src long, dst long")
+        before = len(graph._made)
+        (row,) = graph.cycles(edges, graph.scc(edges)).collect()
+        assert row.component == 0 and row.cycle == list(range(n))
+        return len(graph._made) - before
+
+    assert made(24) == made(3) < 6
